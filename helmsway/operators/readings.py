@@ -65,74 +65,76 @@ def _runs(v: np.ndarray) -> np.ndarray:
     return np.repeat(np.diff(np.r_[starts, v.size]), np.diff(np.r_[starts, v.size]))
 
 
-def _baseline(v: np.ndarray, far: float) -> np.ndarray:
-    """Each reading's expected value: the line between the nearest trusted readings before and after.
+def _steps(v: np.ndarray) -> np.ndarray:
+    """Steps between neighbours, less the usual step of the five before or after, whichever is nearer."""
+    d = pd.Series(np.diff(v))
+    before = d.shift(1).rolling(5, min_periods=1).median().fillna(0).to_numpy()
+    after = d[::-1].shift(1).rolling(5, min_periods=1).median()[::-1].fillna(0).to_numpy()
+    d = d.to_numpy()
+    return np.where(np.abs(d - before) < np.abs(d - after), d - before, d - after)
 
-    Trusted are readings close to the running median of the 27 round them, which a stretch of up to
-    12 cannot move, and readings of a change that builds up: those in step with a trusted neighbour.
+
+def _departures(v: np.ndarray, far: float) -> tuple[np.ndarray, np.ndarray]:
+    """How far each reading lies from the line between the nearest trusted ones, and which are trusted.
+
+    Readings that follow one another without a sudden step form a piece. Trusted is a piece with a
+    reading close to the running median of the 27 round it, which a stretch of up to 12 cannot
+    move, and any piece longer than that: so a change that builds up is trusted, a leap isn't.
     """
     n = v.size
-    s = pd.Series(v)
-    middle = s.rolling(2 * LONGEST_SPIKE + 3, center=True, min_periods=1).median().to_numpy()
-    trusted = np.abs(v - middle) <= far
-    near = np.r_[False, np.abs(np.diff(v)) <= far]
-    for _ in range(LONGEST_SPIKE // 2):  # grow trust along gentle steps, from both sides
-        grown = trusted | (near & np.r_[False, trusted[:-1]]) | (np.r_[near[1:], False] & np.r_[trusted[1:], False])
-        if (grown == trusted).all():
-            break
-        trusted = grown
+    middle = pd.Series(v).rolling(2 * LONGEST_SPIKE + 3, center=True, min_periods=1).median().to_numpy()
+    piece = np.r_[0, np.cumsum(np.abs(_steps(v)) > far)]
+    close = np.bincount(piece, np.abs(v - middle) <= far) > 0
+    trusted = (close | (np.bincount(piece) > LONGEST_SPIKE))[piece]
     at = np.arange(n)
     known = np.flatnonzero(trusted)
     if known.size == 0:
-        return middle
+        return np.abs(v - middle), trusted
     before = known[np.clip(np.searchsorted(known, at, "left") - 1, 0, known.size - 1)]
     after = known[np.clip(np.searchsorted(known, at, "right"), 0, known.size - 1)]
     before, after = np.where(before < at, before, after), np.where(after > at, after, before)
-    span = np.maximum(after - before, 1)
-    return v[before] + (v[after] - v[before]) * (at - before) / span
+    line = v[before] + (v[after] - v[before]) * (at - before) / np.maximum(after - before, 1)
+    return np.abs(v - line), trusted
 
 
-def _confirmed(v: np.ndarray, spike: np.ndarray, far: float) -> np.ndarray:
-    """Spikes that begin and end with a step: stretches whose sides both depart at once."""
-    keep = np.zeros_like(spike)
-    edges = np.flatnonzero(np.diff(np.r_[0, spike.astype(np.int8), 0]))
+def _confirmed(v: np.ndarray, p_spike: np.ndarray, trusted: np.ndarray, far: float) -> np.ndarray:
+    """Stretches that leap away and back again, are short and most likely spikes by the model."""
+    keep = np.zeros(v.size, bool)
+    edges = np.flatnonzero(np.diff(np.r_[0, (~trusted).astype(np.int8), 0]))
     for a, b in zip(edges[::2], edges[1::2]):
-        if b - a > LONGEST_SPIKE:
-            continue
-        sides = [abs(v[a] - v[a - 1])] if a else []
-        sides += [abs(v[b - 1] - v[b])] if b < v.size else []
-        keep[a:b] = bool(sides) and min(sides) > far
+        leaps = ([v[a] - v[a - 1]] if a else []) + ([v[b - 1] - v[b]] if b < v.size else [])
+        back = leaps and min(map(abs, leaps)) > far and np.sign(leaps[0]) == np.sign(leaps[-1])
+        keep[a:b] = bool(back) and b - a <= LONGEST_SPIKE and p_spike[a:b].mean() > 0.5
     return keep
 
 
-def _judge(t: np.ndarray, v: np.ndarray, scale: float, bounds: tuple[float, float], hole_ns: float) -> tuple[np.ndarray, np.ndarray]:
+def _judge(t: np.ndarray, v: np.ndarray, standing: np.ndarray, scale: float, bounds: tuple[float, float], hole_ns: float) -> tuple[np.ndarray, np.ndarray]:
     """State and fault probability of each reading of one block of one field, in order of time."""
     n = v.size
     outside = (v < bounds[0]) | (v > bounds[1]) | ~np.isfinite(v)
     run = _runs(v)
-    same = run >= STUCK_RUN
+    same = (run >= STUCK_RUN) & ~standing
     scale = scale if np.isfinite(scale) and scale > 0 else max(1e-9, float(np.abs(v[~outside]).max(initial=0)) * 1e-3)
     far = FAR * scale
-    away = np.zeros(n)
+    away, trusted = np.zeros(n), np.ones(n, bool)
     pieces = np.split(np.arange(n), np.flatnonzero(np.diff(t) > hole_ns) + 1)
     for p in pieces:
-        inside = p[~outside[p]]
+        inside = p[~outside[p] & ~same[p]]
         if inside.size > 2:
-            away[inside] = np.abs(v[inside] - _baseline(v[inside], far))
-    z = np.minimum(away / scale, 1e6)
+            away[inside], trusted[inside] = _departures(v[inside], far)
+    z = np.minimum(away / scale, 60.0)
     loglik = np.empty((n, 4))
-    loglik[:, NORMAL] = -np.log1p((z / 4.0) ** 4) - 30.0 * same
-    loglik[:, SPIKE] = np.where(z > FAR, np.log(1e-3), np.log(1e-3) - (FAR - z) * 1.5) - 30.0 * same
+    loglik[:, NORMAL] = -z - 30.0 * same
+    loglik[:, SPIKE] = np.log(1e-3) - 1.5 * np.maximum(FAR - z, 0) - 30.0 * same
     loglik[:, STUCK] = np.where(same, 0.0, -30.0)
     loglik[:, RANGE] = np.where(outside, 0.0, -40.0)
     loglik[outside, NORMAL] -= 40.0
     loglik[outside, SPIKE] -= 40.0
     p = posteriors(loglik, TRANSITION, INITIAL)
-    state = p.argmax(axis=1)
-    spike = state == SPIKE
+    spike = np.zeros(n, bool)
     for q in pieces:
         inside = q[~outside[q] & ~same[q]]
-        spike[inside] = _confirmed(v[inside], spike[inside], far)
+        spike[inside] = _confirmed(v[inside], p[inside, SPIKE], trusted[inside], far)
     state = np.where(outside, RANGE, np.where(same, STUCK, np.where(spike, SPIKE, NORMAL)))
     return state, 1.0 - p[:, NORMAL]
 
@@ -180,7 +182,7 @@ def flag_readings(readings: DataFrame, source: str, seq: str, time: str, fields:
             at = np.flatnonzero(pdf[f].notna().to_numpy())
             if not at.size:
                 continue
-            state, p = _judge(t[at], pdf[f].to_numpy()[at].astype(float), float(pdf[f"scale_{f}"].iloc[0] or np.nan), bounds.get(f, (-np.inf, np.inf)), hole_ns)
+            state, p = _judge(t[at], pdf[f].to_numpy()[at].astype(float), standing[at], float(pdf[f"scale_{f}"].iloc[0] or np.nan), bounds.get(f, (-np.inf, np.inf)), hole_ns)
             flagged = (state != NORMAL) & ~standing[at] & home[at]
             rows = at[flagged]
             out.append(pd.DataFrame({"_source": pdf["_source"].to_numpy()[rows], "_seq": pdf["_seq"].to_numpy()[rows], "field_name": f, "fault": kinds[state[flagged]], "p_fault": p[flagged]}))
