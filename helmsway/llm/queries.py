@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helmsway.llm import nearest, packing, quantiles, tokenizer
+from helmsway.llm import nearest, packing, quantiles, tokenizer, topics
 from helmsway.session import checkpointed
 from helmsway.sources.tables import table
 
@@ -147,6 +147,7 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
     "p7_windows": p7_windows,
+    "p8_found": p8_found,
 }
 
 SQL = {
