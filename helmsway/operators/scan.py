@@ -73,3 +73,16 @@ def numbered(df: DataFrame, keys: list[str], order: str, ties: list[str], out: s
         .where(~F.col(seed))
         .drop(part, count, seed)
     )
+
+
+def in_blocks(df: DataFrame, keys: list[str], order: str, ties: list[str], before: int, chunk: int, size: int = 4096) -> DataFrame:
+    """Rows of each key in blocks of ``size`` by (``order``, ``ties``), each block led by the ``before`` rows ahead of it.
+
+    Adds ``_no`` (row number from 0 in the key), ``_block`` and ``_home`` (false for the leading
+    copies). A window over (keys, ``_block``) by ``_no`` whose frame reaches back at most ``before`` rows
+    is right on the home rows, and no task holds more of a key than its blocks.
+    """
+    placed = numbered(df, keys, order, ties, "_no", chunk)
+    block = F.call_function("div", F.col("_no"), F.lit(size).cast("bigint"))
+    homes = F.array_compact(F.array(block, F.when(F.col("_no") - block * size >= size - before, block + 1)))
+    return placed.withColumn("_block", F.explode(homes)).withColumn("_home", F.col("_block") == block)

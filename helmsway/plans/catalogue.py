@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from helmsway.plans import problems
+from helmsway.plans import evidence, problems, streams
 
-MODULES = [problems]
+MODULES = [problems, streams, evidence]
 
 
 def queries() -> dict:
