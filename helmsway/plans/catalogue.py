@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from helmsway.plans import evidence, problems, streams
+from helmsway.plans import clouds, evidence, problems, streams
 
-MODULES = [problems, streams, evidence]
+MODULES = [problems, streams, evidence, clouds]
 
 
 def queries() -> dict:
