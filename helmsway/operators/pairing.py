@@ -109,10 +109,9 @@ def asof_time(left: DataFrame, right: DataFrame, keys: list[str], at: str, value
     r = right.where(F.col(at).isNotNull()).groupBy(*keys, F.col(at).alias("_t")).agg(F.max(value).alias("_v"))
     homes = F.sequence(floor_div(t, chunk_ns), floor_div(t + F.lit(tolerance_ns), chunk_ns))
     r = r.select(*keys, "_t", F.struct("_t", "_v").alias("_r"), F.explode(homes).alias("_chunk"), F.lit(0).alias("_side"))
-    rows = left.withColumn("_t", F.col(at)).withColumn("_chunk", floor_div(t, chunk_ns)).withColumn("_side", F.lit(1))
+    rows = left.select(*keys, F.col(at).alias("_t"), F.struct("*").alias("_row"), floor_div(F.col(at), chunk_ns).alias("_chunk"), F.lit(1).alias("_side"))
     w = Window.partitionBy(*keys, "_chunk").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = rows.unionByName(r, allowMissingColumns=True).withColumn("_hit", F.last("_r", ignorenulls=True).over(w)).where(F.col("_side") == 1)
     near = F.col("_hit._t") >= t - F.lit(tolerance_ns)
-    return (
-        both.withColumn("match_ns", F.when(near, F.col("_hit._t"))).withColumn("match_value", F.when(near, F.col("_hit._v"))).drop("_t", "_chunk", "_side", "_r", "_hit")
-    )
+    kept = [F.col(f"_row.`{c}`") for c in left.columns if c not in ("match_ns", "match_value")]
+    return both.select(*kept, F.when(near, F.col("_hit._t")).alias("match_ns"), F.when(near, F.col("_hit._v")).alias("match_value"))

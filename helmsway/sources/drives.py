@@ -156,7 +156,7 @@ def sweep_times(start: DataFrame, trigger: DataFrame, end: DataFrame) -> DataFra
 def read_motion(spark: SparkSession, folder: str) -> DataFrame:
     """(seq, fields, vf, vl, yaw_rate, ``fault``) of a folder of motion records, 30 numbers in a text file."""
     text = spark.read.text(folder, wholetext=True).select(frame_number(F.col("_metadata.file_path"), "txt").alias("seq"), F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("parts"))
-    fields = F.transform("parts", lambda p: F.try_cast(p, "double") if hasattr(F, "try_cast") else p.try_cast("double"))
+    fields = F.transform("parts", lambda p: p.try_cast("double"))
     rows = text.where(F.col("seq").isNotNull()).select("seq", "parts", fields.alias("fields"))
     bad = F.exists("fields", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     fault = F.when(F.size("parts") != 30, "wrong_count").when(bad, "not_finite")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from helmsway.operators.tracker import TRACK_COLUMNS, Tracks, step
+from helmsway.session import checkpointed
 
 
 def follow_stream(dets: DataFrame, drive: str, seq: str, at_ns: str, idx: str) -> DataFrame:
@@ -54,9 +55,11 @@ def pair_stream(left: DataFrame, right: DataFrame, keys: list[str], at: str, wai
 def write_replay(df: DataFrame, folder: str, order: str, parts: int) -> None:
     """Lays a table out in files that a file stream, one file a trigger, replays in order of ``order``.
 
-    File names rise with the order (range partitions, sorted within).
+    A file stream takes files by age, so range partitions are written one after the other.
     """
-    df.repartitionByRange(parts, order).sortWithinPartitions(order).write.mode("overwrite").parquet(folder)
+    ranged = checkpointed(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
+    for part in range(parts):
+        ranged.where(F.col("_part") == part).drop("_part").sort(order).coalesce(1).write.mode("append").parquet(folder)
 
 
 def read_replay(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
