@@ -55,19 +55,21 @@ def match_nearest(
     ``keys`` are columns of both sides; null keys match nothing. Equal rows of ``left`` stay so many.
     """
     width = max(4 * tolerance_ns, NS)
-    at = "_left_at"
-    while at in left.columns:
-        at += "_"
-    index = nearest_intervals(right, keys, right_time, right_value, tolerance_ns)
-    index = index.select(
+    index = nearest_intervals(right, keys, right_time, right_value, tolerance_ns).select(
         *[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)],
-        F.col("value").alias(out),
+        F.col("value").alias("_value"),
         F.col("from_ns").alias("_from"),
         F.col("to_ns").alias("_to"),
         F.explode(F.sequence(_bucket(F.col("from_ns"), width), _bucket(F.col("to_ns"), width))).alias("_bucket"),
     )
-    rows = left.where(F.col(left_time).isNotNull()).withColumn(at, F.col(left_time))
-    rows = rows.drop(out) if out in left.columns else rows
-    same = [rows[k] == index[f"_r{i}"] for i, k in enumerate(keys)] + [_bucket(rows[at], width) == index["_bucket"]]
-    joined = rows.join(index, [*same, rows[at].between(index["_from"], index["_to"])])
-    return joined.drop(at, "_from", "_to", "_bucket", *[f"_r{i}" for i in range(len(keys))])
+    # the left row travels as one struct, so that no column of it can clash with the index's
+    rows = left.where(F.col(left_time).isNotNull()).select(
+        F.struct("*").alias("_row"),
+        *[F.col(k).alias(f"_l{i}") for i, k in enumerate(keys)],
+        F.col(left_time).alias("_at"),
+        _bucket(F.col(left_time), width).alias("_asked"),
+    )
+    same = [F.col(f"_l{i}") == F.col(f"_r{i}") for i in range(len(keys))] + [F.col("_asked") == F.col("_bucket")]
+    joined = rows.join(index, [*same, F.col("_at").between(F.col("_from"), F.col("_to"))])
+    kept = [F.col(f"_row.`{c}`") for c in left.columns if c != out]
+    return joined.select(*kept, F.col("_value").alias(out))
