@@ -39,7 +39,7 @@ def voxel_reduce(points: DataFrame, keys: list[str], edge: float, exact: bool =
     by = [*keys, "ix", "iy", "iz"]
     if exact:
         lists = cells.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("idx", *[F.col(c).cast("double").alias(c) for c in (*AXES, "r")]))).alias("_p"))
-        sums = [(F.aggregate("_p", F.lit(0.0), lambda a, p, c=c: a + p[c]) / F.size("_p")).alias(c) for c in (*AXES, "r")]
+        sums = [(F.aggregate(F.col(f"_p.{c}"), F.lit(0.0), lambda total, v: total + v) / F.size("_p")).alias(c) for c in (*AXES, "r")]
         out = lists.select(*by, *sums, F.size("_p").cast("bigint").alias("n"))
     else:
         out = cells.groupBy(*by).agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in (*AXES, "r")], F.count(F.lit(1)).alias("n"))
