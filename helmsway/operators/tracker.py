@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helmsway.functions import geometry as g
@@ -59,7 +59,7 @@ def _matches(tracks: np.ndarray, dets: np.ndarray, gate: float) -> list[tuple[in
     return out
 
 
-def step(s: Tracks, seq: int, at_ns: int, dets: np.ndarray, ego: tuple[float, float, float] | None) -> pd.DataFrame:
+def step(s: Tracks, seq: int, at_ns: int, dets: np.ndarray, ego: tuple[float, float, float] | None) -> dict[str, np.ndarray]:
     """Takes in one sweep's detections (in order of their number) and gives the tracks worth telling of.
 
     Tracks are carried by the vehicle's motion, matched, coast over one sweep without a match, and
@@ -95,9 +95,10 @@ def step(s: Tracks, seq: int, at_ns: int, dets: np.ndarray, ego: tuple[float, fl
     span = (s.last_ns - s.first_ns)[told] * 1e-9
     v = (s.pos - s.first)[told] / np.where(span > 0, span, np.inf)[:, None]
     p = s.pos[told]
-    return pd.DataFrame(
-        {"track_id": s.ids[told], "x": p[:, 0], "y": p[:, 1], "z": p[:, 2], "vx": v[:, 0], "vy": v[:, 1], "vz": v[:, 2], "observations": s.seen[told], "misses": s.misses[told], "age_s": span}
-    )
+    return {
+        "track_id": s.ids[told], "x": p[:, 0], "y": p[:, 1], "z": p[:, 2], "vx": v[:, 0], "vy": v[:, 1], "vz": v[:, 2],
+        "observations": s.seen[told], "misses": s.misses[told], "age_s": span,
+    }
 
 
 def unbroken(sweeps: DataFrame, drive: str, seq: str, chunk: int = 100_000) -> DataFrame:
@@ -117,15 +118,17 @@ def follow(dets: DataFrame, drive: str, seq: str, at_ns: str, idx: str, ego: tup
     own = list(ego or ())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([seq, idx])
         state, out = Tracks(), []
-        for n, part in pdf.sort_values([seq, idx]).groupby(seq, sort=True):
-            found = part[part[idx].notna()]
-            motion = tuple(float(part[c].iloc[0]) for c in own) if own else None
-            if motion is not None and not np.isfinite(motion).all():
-                motion = None
-            told = step(state, int(n), int(part[at_ns].iloc[0]), found[["x", "y", "z"]].to_numpy(float), motion)
-            out.append(told.assign(**{drive: part[drive].iloc[0], seq: n, "stretch": part["stretch"].iloc[0]}))
-        return pd.concat(out)
+        points, given = pdf[["x", "y", "z"]].to_numpy(float), pdf[idx].notna().to_numpy()
+        numbers, times, motions = pdf[seq].to_numpy(), pdf[at_ns].to_numpy(), pdf[own].to_numpy(float)
+        starts = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])
+        for a, b in zip(starts, [*starts[1:], len(pdf)]):
+            motion = tuple(motions[a]) if own and np.isfinite(motions[a]).all() else None
+            told = step(state, int(numbers[a]), int(times[a]), points[a:b][given[a:b]], motion)
+            out.append(told | {seq: np.full(len(told["track_id"]), numbers[a])})
+        whole = pd.DataFrame({c: np.concatenate([o[c] for o in out]) for c in out[0]})
+        return whole.assign(**{drive: pdf[drive].iloc[0], "stretch": pdf["stretch"].iloc[0]})
 
     schema = f"`{drive}` {kinds[drive]}, `{seq}` {kinds[seq]}, stretch bigint, {TRACK_COLUMNS}"
     return rows.select(drive, seq, "stretch", at_ns, idx, "x", "y", "z", *own).groupBy(drive, "stretch").applyInPandas(run, schema)
@@ -148,5 +151,5 @@ def answers(tracks: DataFrame, keys: list[str], vf: str | None = None, k: str |
         tracks.withColumn("offset_m", offset).withColumn("distance_m", along).withColumn("closing_mps", closing).withColumn("ttc_s", ttc)
         .withColumn("in_path", (F.col("misses") == 0) & (F.col("distance_m") > 0) & (F.abs("offset_m") <= g.HALF_WIDTH_M))
     )
-    first = told.where("in_path").groupBy(*keys).agg(F.min(F.struct("distance_m", "track_id")).alias("_n"))
-    return told.join(first, keys, "left").withColumn("nearest", F.coalesce(F.col("in_path") & (F.col("track_id") == F.col("_n.track_id")), F.lit(False))).drop("_n")
+    first = F.min(F.when(F.col("in_path"), F.struct("distance_m", "track_id"))).over(Window.partitionBy(*keys))
+    return told.withColumn("_n", first).withColumn("nearest", F.coalesce(F.col("in_path") & (F.col("track_id") == F.col("_n.track_id")), F.lit(False))).drop("_n")

@@ -27,12 +27,11 @@ def stage_summary(spark: SparkSession, d: str) -> DataFrame:
     """A10: per edge the rows by outcome and the exact percentiles of queue wait and age in microseconds."""
     rows = rows_once(spark, d)
     counts = rows.groupBy("edge").agg(*[F.count_if(F.col("outcome") == o).alias(n) for n, o in OUTCOMES.items()], F.round(F.avg("payload_bytes"), 3).alias("mean_bytes"))
+    micros = [F.struct(F.lit(m).alias("metric"), F.call_function("div", F.col(c), F.lit(1000).cast("bigint")).alias("us")) for m, c in (("wait", "queue_wait_ns"), ("age", "measurement_age_ns"))]
     wanted = {f"p{p}": ranks.nearest_rank(p) for p in (50, 95, 99)} | {"max": F.col("n")}
-    for name, column in (("wait", "queue_wait_ns"), ("age", "measurement_age_ns")):
-        micro = rows.select("edge", F.call_function("div", F.col(column), F.lit(1000).cast("bigint")).alias("us"))
-        stats = ranks.order_statistics(micro, ["edge"], "us", {f"{name}_{k}_us": r for k, r in wanted.items()}).drop("n")
-        counts = counts.join(stats, "edge", "left")
-    return counts
+    stats = ranks.order_statistics(rows.select("edge", F.inline(F.array(*micros))), ["edge", "metric"], "us", wanted)
+    wide = stats.groupBy("edge").agg(*[F.max(F.when(F.col("metric") == m, F.col(k))).alias(f"{m}_{k}_us") for m in ("wait", "age") for k in wanted])
+    return counts.join(wide, "edge", "left")
 
 
 def steady_age(spark: SparkSession, d: str) -> DataFrame:

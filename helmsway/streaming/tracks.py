@@ -29,7 +29,7 @@ def follow_stream(dets: DataFrame, drive: str, seq: str, at_ns: str, idx: str) -
             found = part[part[idx].notna()]
             if tracks.seq is None or int(n) != tracks.seq + 1:
                 tracks = Tracks()  # ids are numbered within an unbroken stretch
-            told = step(tracks, int(n), int(part[at_ns].iloc[0]), found[["x", "y", "z"]].to_numpy(np.float64), None)
+            told = pd.DataFrame(step(tracks, int(n), int(part[at_ns].iloc[0]), found[["x", "y", "z"]].to_numpy(np.float64), None))
             told.insert(0, seq, int(n))
             told.insert(0, drive, key[0])
             yield told
