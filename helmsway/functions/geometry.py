@@ -192,3 +192,25 @@ def projected_box(lo: list[Column], hi: list[Column], p: list[list[float]], widt
 
 def stereo_range_m(disparity_px: Column, px_m: float) -> Column:
     return F.lit(px_m) / F.nullif(disparity_px, F.lit(0.0))
+
+
+EARTH_RADIUS_M = 6_378_137.0
+
+
+def map_pose(lat: Column, lon: Column, yaw: Column, lat0: Column, ahead_m: float, left_m: float) -> tuple[Column, Column]:
+    """(east, north) of a sensor mounted ahead and left of the receiver, on a Mercator map scaled at ``lat0`` (degrees)."""
+    scale = F.cos(F.radians(lat0)) * EARTH_RADIUS_M
+    east = scale * F.radians(lon)
+    north = scale * F.log(F.tan(F.radians((lat + 90.0) / 2)))
+    return east + F.cos(yaw) * ahead_m - F.sin(yaw) * left_m, north + F.sin(yaw) * ahead_m + F.cos(yaw) * left_m
+
+
+def to_map(x: Column, y: Column, east: Column, north: Column, yaw: Column) -> tuple[Column, Column]:
+    """A point of the sensor's frame on the map."""
+    return east + x * F.cos(yaw) - y * F.sin(yaw), north + x * F.sin(yaw) + y * F.cos(yaw)
+
+
+def from_map(e: Column, n: Column, east: Column, north: Column, yaw: Column) -> tuple[Column, Column]:
+    """A point of the map in the sensor's frame."""
+    de, dn = e - east, n - north
+    return de * F.cos(yaw) + dn * F.sin(yaw), dn * F.cos(yaw) - de * F.sin(yaw)

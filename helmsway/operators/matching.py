@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from helmsway.functions import geometry as g
 from helmsway.functions.boxes import image_iou, suppressed, turned_iou
+from helmsway.operators.ranks import order_statistics, upper_median_rank
 from helmsway.session import checkpointed
 
 
@@ -135,3 +136,78 @@ def best_labels(labels: DataFrame, dets: DataFrame, keys: list[str], label: str,
     scored = labels.join(d, keys).withColumn("iou", iou).where(F.col("iou") >= least)
     best = scored.groupBy(*keys, label).agg(F.min_by(F.struct("det_idx", "iou"), F.struct(-F.col("iou"), F.col("det_idx"))).alias("_b"))
     return labels.select(*keys, label).join(best, [*keys, label], "left").select(*keys, label, "_b.*")
+
+
+def confirm(fused: DataFrame, right_boxes: DataFrame, dets: DataFrame, keys: list[str]) -> DataFrame:
+    """``fused`` (from ``fuse``) after a look at the right image, with ``right_idx`` and its overlap.
+
+    ``right_boxes`` has each track's box in the right image (x0..y1) and whether it is ``in_left``, ``dets``
+    the right detections. A fused track asks for a detection of its own class, a lidar_only track,
+    if in the left image too, for any; pairs overlap by more than half and go one to one, the largest
+    overlap first. A fused track without one becomes one_camera; a lidar_only track with one does too,
+    takes its class and confidence, and has no left detection.
+    """
+    d = dets.select(*keys, F.col("det_idx").alias("right_idx"), F.col("class_id").alias("right_class"), F.col("confidence").alias("right_confidence"), *[F.col(c).alias(f"d{c}") for c in ("x0", "y0", "x1", "y1")])
+    asked = fused.select(*keys, "track_id", "population", "class_id").join(right_boxes, [*keys, "track_id"]).join(d, keys)
+    a, b = ({c: F.col(f"{p}{c}") for c in ("x0", "y0", "x1", "y1")} for p in ("", "d"))
+    wanted = ((F.col("population") == "fused") & (F.col("class_id") == F.col("right_class"))) | ((F.col("population") == "lidar_only") & F.col("in_left"))
+    pairs = asked.where(wanted & g.over_half(a, b)).withColumn("right_iou", g.box_iou(a, b)).withColumn("_cost", -F.col("right_iou"))
+    best = greedy(pairs, keys, "track_id", "right_idx", "_cost").drop("_cost")
+    told = best.join(pairs.select(*keys, "track_id", "right_idx", "right_iou", "right_class", "right_confidence"), [*keys, "track_id", "right_idx"])
+    out = fused.join(told, [*keys, "track_id"], "left")
+    seen, was = F.col("right_idx").isNotNull(), F.col("population")
+    found = (was == "lidar_only") & seen
+    return out.select(
+        *keys, "track_id",
+        F.when(found, F.lit(None)).otherwise(F.col("det_idx")).alias("det_idx"),
+        F.when(found, F.col("right_iou")).otherwise(F.col("iou")).alias("iou"),
+        F.when(found, F.col("right_class")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(found, F.col("right_confidence")).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(found | ((was == "fused") & ~seen), "one_camera").otherwise(was).alias("population"),
+        "right_idx",
+    )
+
+
+def inside_fused(tracks: DataFrame, keys: list[str], grow_m: float) -> DataFrame:
+    """(keys, ``track_id``) of lidar_only tracks that are a piece of a fused one of the same sweep.
+
+    At least half of the image box lies in the fused track's, and the centre (x, y, z) in its box
+    (min_x..max_z) grown by ``grow_m``.
+    """
+    fused = tracks.where(F.col("population") == "fused").select(*keys, *[F.col(c).alias(f"f_{c}") for c in ("x0", "y0", "x1", "y1", *[f"{m}_{a}" for m in ("min", "max") for a in "xyz"])])
+    a, b = ({c: F.col(f"{p}{c}") for c in ("x0", "y0", "x1", "y1")} for p in ("", "f_"))
+    common = g.box_overlap(a, b)
+    deep = F.lit(True)
+    for axis in "xyz":
+        deep = deep & F.col(axis).between(F.col(f"f_min_{axis}") - grow_m, F.col(f"f_max_{axis}") + grow_m)
+    rest = tracks.where(F.col("population") == "lidar_only")
+    return rest.join(fused, keys).where((common > 0) & (common * 2 >= g.box_area(a)) & deep).select(*keys, "track_id").distinct()
+
+
+def consistent(population: str, class_id: str, in_frame: str, nearest: str, in_path: str, misses: str, lidar_class: str):
+    """Whether a record of an answer agrees with itself, as a column; the arguments name its columns.
+
+    The nearest is on the path and was seen in this sweep; the population is known; just the matched
+    have a camera class, are in the frame and were seen; only tracks seen have a lidar class.
+    """
+    fresh, matched = F.col(misses) == 0, F.col(population).isin("fused", "one_camera")
+    known = F.col(population).isin("unfused", "fused", "lidar_only", "one_camera")
+    return (
+        (~F.col(nearest) | (F.col(in_path) & fresh)) & known & (matched == F.col(class_id).isNotNull()) & (~matched | (F.col(in_frame) & fresh)) & (F.col(lidar_class).isNull() | fresh)
+    )
+
+
+def stereo_check(pairs: DataFrame, lidar: str, stereo_range: str) -> DataFrame:
+    """(``tracks, median_abs_diff_m, median_ratio, within_fraction``) of stereo ranges against the lidar's, one row.
+
+    Within is a metre or a tenth of the distance, whichever is more; medians are to the nearest
+    micrometre and millionth, as upper medians. Ratios are of positive distances only.
+    """
+    diff = F.abs(F.col(stereo_range) - F.col(lidar))
+    ratio = F.when(F.col(lidar) > 0, F.col(stereo_range) / F.col(lidar))
+    micro = F.inline(F.array(*[F.struct(F.lit(n).alias("what"), F.round(c * 1e6).cast("bigint").alias("v")) for n, c in (("diff", diff), ("ratio", ratio))]))
+    medians = order_statistics(pairs.select(micro), ["what"], "v", {"median": upper_median_rank()})
+    wide = medians.agg(*[(F.max(F.when(F.col("what") == n, F.col("median"))) / 1e6).alias(a) for n, a in (("diff", "median_abs_diff_m"), ("ratio", "median_ratio"))])
+    whole = pairs.agg(F.count(F.lit(1)).alias("tracks"), F.avg((diff <= F.greatest(F.abs(F.col(lidar)) * 0.1, F.lit(1.0))).cast("int")).alias("within_fraction"))
+    one = F.lit(1).alias("_one")
+    return whole.select("*", one).join(wide.select("*", one), "_one").drop("_one")

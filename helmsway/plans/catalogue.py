@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from helmsway.plans import clouds, evidence, problems, streams
+from helmsway.plans import checks, clouds, evidence, problems, streams
 
-MODULES = [problems, streams, evidence, clouds]
+MODULES = [problems, streams, evidence, clouds, checks]
 
 
 def queries() -> dict:

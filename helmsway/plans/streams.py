@@ -213,11 +213,11 @@ WITH s AS (
 )"""
 
 
-def _pair_sql(stale_ns: int) -> str:
+def _pair_sql(stale_ns: int, side: str = "left") -> str:
     return (
         _SWEEPS
         + f""", f AS (
-  SELECT drive, seq, tov_ns AS at_ns, min(arrival_ns) AS seen FROM frames WHERE side = 'left' AND tov_ns IS NOT NULL GROUP BY ALL
+  SELECT drive, seq, tov_ns AS at_ns, min(arrival_ns) AS seen FROM frames WHERE side = '{side}' AND tov_ns IS NOT NULL GROUP BY ALL
 ), valid AS (
   SELECT *, least(greatest(coalesce(trigger_ns, tov_start_ns), tov_start_ns), tov_end_ns - 1) AS trig FROM s
   WHERE tov_end_ns > tov_start_ns AND arrival_ns IS NOT NULL
