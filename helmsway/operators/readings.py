@@ -59,10 +59,12 @@ def normal_scales(readings: DataFrame, source: str, time: str, fields: list[str]
     return d.groupBy(source).agg(*quantiles).select(source, *scales)
 
 
-def _runs(v: np.ndarray) -> np.ndarray:
-    """Length of the run of equal values that each reading is in."""
+def _runs(v: np.ndarray, standing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Length of the run of equal values that each reading is in, and whether the vehicle stands in most of that run."""
     starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-    return np.repeat(np.diff(np.r_[starts, v.size]), np.diff(np.r_[starts, v.size]))
+    length = np.diff(np.r_[starts, v.size])
+    rests = np.add.reduceat(standing.astype(int), starts) * 2 > length
+    return np.repeat(length, length), np.repeat(rests, length)
 
 
 def _steps(v: np.ndarray) -> np.ndarray:
@@ -98,11 +100,15 @@ def _departures(v: np.ndarray, far: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _confirmed(v: np.ndarray, p_spike: np.ndarray, trusted: np.ndarray, far: float) -> np.ndarray:
-    """Stretches that leap away and back again, are short and most likely spikes by the model."""
+    """Stretches that leap away and back again, are short and most likely spikes by the model.
+
+    A leap is a step beyond the usual steps round it; at an end of the series one side must do.
+    """
     keep = np.zeros(v.size, bool)
+    steps = _steps(v)
     edges = np.flatnonzero(np.diff(np.r_[0, (~trusted).astype(np.int8), 0]))
     for a, b in zip(edges[::2], edges[1::2]):
-        leaps = ([v[a] - v[a - 1]] if a else []) + ([v[b - 1] - v[b]] if b < v.size else [])
+        leaps = ([steps[a - 1]] if a else []) + ([-steps[b - 1]] if b < v.size else [])
         back = leaps and min(map(abs, leaps)) > far and np.sign(leaps[0]) == np.sign(leaps[-1])
         keep[a:b] = bool(back) and b - a <= LONGEST_SPIKE and p_spike[a:b].mean() > 0.5
     return keep
@@ -112,8 +118,8 @@ def _judge(t: np.ndarray, v: np.ndarray, standing: np.ndarray, scale: float, bou
     """State and fault probability of each reading of one block of one field, in order of time."""
     n = v.size
     outside = (v < bounds[0]) | (v > bounds[1]) | ~np.isfinite(v)
-    run = _runs(v)
-    same = (run >= STUCK_RUN) & ~standing
+    run, rests = _runs(v, standing)
+    same = (run >= STUCK_RUN) & ~standing & ~rests
     scale = scale if np.isfinite(scale) and scale > 0 else max(1e-9, float(np.abs(v[~outside]).max(initial=0)) * 1e-3)
     far = FAR * scale
     away, trusted = np.zeros(n), np.ones(n, bool)
@@ -146,7 +152,7 @@ def flag_readings(readings: DataFrame, source: str, seq: str, time: str, fields:
     isn't normal. Null and NaN are missing values: no case, and skipped when neighbours are sought.
     Rows that share (source, seq) are copies of one reading, of which the earliest time counts.
     Readings without a time have no neighbours and take no part. A standing vehicle (vf and vl both
-    exactly 0) is no case. Empty input gives an empty result; other columns are ignored.
+    exactly 0) is no case, nor is a run of one value in most of which it stands. Empty input gives an empty result; other columns are ignored.
     """
     bounds = HARD_BOUNDS | (bounds or {})
     one = [F.min_by(F.nanvl(F.col(f).cast("double"), F.lit(None)), F.col(time)).alias(f) for f in fields]
