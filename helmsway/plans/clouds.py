@@ -57,6 +57,22 @@ def detections(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(found, ["cx", "cy", "cz", "reflectance", *[f"{a}_{b}" for a in ("min", "max") for b in "xyz"]])
 
 
+def shape_table(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters (scaled) by shape, and by number of cells, in one pass."""
+    found = clouds.detections(clouds.voxel_reduce(points(spark, d), KEYS, 0.05), KEYS)
+    sides = [(F.col(f"max_{a}") - F.col(f"min_{a}")) * 10 for a in "xyz"]
+    shaped = found.withColumn("shape", g.shape_class(*sides))
+    tall = shaped.groupingSets([["shape"], ["voxel_count"]], "shape", "voxel_count")
+    return tall.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("reflectance"), 6).alias("mean_reflectance"))
+
+
+def answer_text(spark: SparkSession, d: str) -> DataFrame:
+    """The answer of each sweep as a line of text."""
+    n = nearest_in_path(spark, d)
+    mm = F.round(F.col("distance") * 1000).cast("bigint").cast("string")
+    return n.select("sweep", F.concat(F.lit("point "), F.col("idx").cast("string"), F.lit(" at "), mm, F.lit(" mm, "), F.col("candidates").cast("string"), F.lit(" on the path")).alias("answer"))
+
+
 def ground_plane(spark: SparkSession, d: str) -> DataFrame:
     """Ground plane of each sweep."""
     return clouds.ground(clouds.voxel_reduce(points(spark, d), KEYS, EDGE), KEYS, EDGE)
@@ -133,7 +149,7 @@ def track_points(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        voxel_reduce, voxel_stats, roi_filter, neighbour_pairs, components, detections, ground_plane, persistence, first_n_per_cell, point_in_rect,
+        voxel_reduce, voxel_stats, roi_filter, neighbour_pairs, components, detections, shape_table, answer_text, ground_plane, persistence, first_n_per_cell, point_in_rect,
         nearest_in_path, greedy_match, nms, box_iou, track_points,
     )
 }
@@ -166,6 +182,13 @@ SQL = {
 SELECT sweep, round(cx, 6) + 0.0 AS cx, round(cy, 6) + 0.0 AS cy, round(cz, 6) + 0.0 AS cz, round(min_x, 6) + 0.0 AS min_x, round(min_y, 6) + 0.0 AS min_y, round(min_z, 6) + 0.0 AS min_z,
   round(max_x, 6) + 0.0 AS max_x, round(max_y, 6) + 0.0 AS max_y, round(max_z, 6) + 0.0 AS max_z, voxel_count, round(reflectance, 6) + 0.0 AS reflectance,
   (row_number() OVER (PARTITION BY sweep ORDER BY component) - 1)::INTEGER AS det_idx FROM m""",
+    "shape_table": _CLOSURE
+    + """, m AS (SELECT sweep, component, (max(x) - min(x)) * 10 AS dx, (max(y) - min(y)) * 10 AS dy, (max(z) - min(z)) * 10 AS dz, count(*) AS voxel_count, avg(r) AS reflectance FROM k JOIN c USING (sweep, key) GROUP BY ALL HAVING count(*) >= 3),
+s AS (SELECT *, CASE WHEN greatest(dx, dy, dz) > 6 THEN 'merged' WHEN dx < 1 AND dy < 1 AND dz < 0.8 THEN 'fragment' ELSE 'object' END AS shape FROM m)
+SELECT shape, voxel_count, count(*) AS n, round(avg(reflectance), 6) AS mean_reflectance FROM s GROUP BY GROUPING SETS ((shape), (voxel_count))""",
+    "answer_text": _POINTS
+    + """, c AS (SELECT *, row_number() OVER (PARTITION BY sweep ORDER BY x, idx) AS i, count(*) OVER (PARTITION BY sweep) AS candidates FROM p WHERE x > 0 AND abs(y) <= 0.1)
+SELECT sweep, 'point ' || idx || ' at ' || round(round(x, 6) * 1000)::BIGINT || ' mm, ' || candidates || ' on the path' AS answer FROM c WHERE i = 1""",
     "persistence": _POINTS + """ SELECT a.sweep, count(*) FILTER (EXISTS (SELECT 1 FROM p b WHERE b.sweep = a.sweep + 1 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.0225)) AS matched, count(*) AS total
 FROM p a WHERE a.sweep + 1 IN (SELECT sweep FROM p) GROUP BY a.sweep""",
     "first_n_per_cell": _POINTS

@@ -112,6 +112,14 @@ def interpolate_deadline(spark: SparkSession, d: str) -> DataFrame:
     return sequences.slot_deadlines(table(spark, d, "sweeps"), ["drive"], "seq", "due_ns", F.lit(PERIOD_NS).cast("bigint"), CHUNK)
 
 
+def dense_slots(spark: SparkSession, d: str) -> DataFrame:
+    """S7, ST5: every slot of a drive from 0 to its last: present sweeps, and absent ones as Missing rows at their deadline."""
+    present = table(spark, d, "sweeps").where(F.col("due_ns").isNotNull()).groupBy("drive", "seq").agg(F.min("due_ns").alias("due_ns"))
+    absent = interpolate_deadline(spark, d).select("drive", "seq", F.col("deadline_ns").alias("due_ns"))
+    told = lambda df, outcome, reason: df.withColumn("outcome", F.lit(outcome)).withColumn("reason", F.lit(reason))
+    return told(present, "Present", None).unionByName(told(absent, "Missing", "absent_in_source"))
+
+
 def deadline_lead(spark: SparkSession, d: str) -> DataFrame:
     """W6, ST4: when a sweep's place is taken by the next, and whether it arrived after that."""
     rows = sweeps(spark, d).where(F.col("due_ns").isNotNull()).select("drive", "seq", "due_ns", "arrival_ns")
@@ -202,7 +210,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pair_interval, pair_stale, pair_outcomes, pair_by_seq, asof_seq, asof_time, seq_gap, net_seq_gap, absent_ranges, absent_phrases, absent_slots,
-        interpolate_deadline, deadline_lead, median_period, increasing_check, frame_index, silence, sticky_state, adjacent_sweeps, pairing_offset, ego_speed, ego_path, clock_due,
+        interpolate_deadline, dense_slots, deadline_lead, median_period, increasing_check, frame_index, silence, sticky_state, adjacent_sweeps, pairing_offset, ego_speed, ego_path, clock_due,
     )
 }
 
@@ -244,6 +252,12 @@ p AS (SELECT *, coalesce(lag(seq) OVER (PARTITION BY drive ORDER BY seq), -1) AS
 r AS (SELECT drive, prev + 1 AS first_absent, seq - 1 AS last_absent, seq - prev - 1 AS n_absent FROM p WHERE seq - prev > 1)
 """
 
+_DEADLINES = """
+WITH k AS (SELECT drive, seq, min(due_ns) AS due FROM sweeps WHERE due_ns IS NOT NULL AND seq >= 0 GROUP BY ALL),
+p AS (SELECT *, lag(seq) OVER w AS a, lag(due) OVER w AS da FROM k WINDOW w AS (PARTITION BY drive ORDER BY seq)),
+x AS (SELECT *, unnest(generate_series(coalesce(a, -1) + 1, seq - 1)) AS slot FROM p),
+absent AS (SELECT drive, slot AS seq, CASE WHEN a IS NULL THEN due - (seq - slot) * 103000000 ELSE da + ((due - da) * (slot - a)) // (seq - a) END AS deadline_ns FROM x)"""
+
 SQL = {
     "pair_interval": _pair_sql(0) + " SELECT drive, seq, pair_seq, pair_ns, outcome FROM paired",
     "pair_stale": _pair_sql(120_000_000) + " SELECT drive, seq, pair_seq, pair_ns, outcome FROM paired",
@@ -278,11 +292,9 @@ FROM g WHERE seq - prev > 1""",
     "absent_slots": """
 WITH top AS (SELECT drive, max(seq) AS top FROM ego GROUP BY drive)
 SELECT drive, unnest(generate_series(0, top)) AS seq FROM top EXCEPT SELECT drive, seq FROM ego""",
-    "interpolate_deadline": """
-WITH k AS (SELECT drive, seq, min(due_ns) AS due FROM sweeps WHERE due_ns IS NOT NULL AND seq >= 0 GROUP BY ALL),
-p AS (SELECT *, lag(seq) OVER w AS a, lag(due) OVER w AS da FROM k WINDOW w AS (PARTITION BY drive ORDER BY seq)),
-x AS (SELECT *, unnest(generate_series(coalesce(a, -1) + 1, seq - 1)) AS slot FROM p)
-SELECT drive, slot AS seq, CASE WHEN a IS NULL THEN due - (seq - slot) * 103000000 ELSE da + ((due - da) * (slot - a)) // (seq - a) END AS deadline_ns FROM x""",
+    "interpolate_deadline": _DEADLINES + " SELECT * FROM absent",
+    "dense_slots": _DEADLINES
+    + """ SELECT drive, seq, due AS due_ns, 'Present' AS outcome, NULL::VARCHAR AS reason FROM k UNION ALL SELECT drive, seq, deadline_ns, 'Missing', 'absent_in_source' FROM absent""",
     "deadline_lead": _SWEEPS
     + """, d AS (SELECT DISTINCT drive, due_ns FROM s WHERE due_ns IS NOT NULL),
 l AS (SELECT *, coalesce(lead(due_ns) OVER (PARTITION BY drive ORDER BY due_ns), due_ns + 103000000) AS skip_at_ns FROM d)
