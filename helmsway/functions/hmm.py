@@ -5,22 +5,21 @@ from __future__ import annotations
 import numpy as np
 
 
-def posteriors(loglik: np.ndarray, transition: np.ndarray, initial: np.ndarray, chunk: int = 128, warm_up: int = 64) -> np.ndarray:
-    """State probabilities (n, k) of one series from emission log-likelihoods (n, k).
+def posteriors(series: list[np.ndarray], transition: np.ndarray, initial: np.ndarray, chunk: int = 128, warm_up: int = 64) -> list[np.ndarray]:
+    """State probabilities (n, k) of each series from its emission log-likelihoods (n, k).
 
-    The series is cut into chunks that are run side by side, each with ``warm_up`` readings of its
-    neighbours on either side; the chain forgets its start within far fewer steps.
+    Every series is cut into chunks, and all chunks of all series run side by side, each with
+    ``warm_up`` readings of its neighbours on either side; the chain forgets its start within far
+    fewer steps.
     """
-    n, k = loglik.shape
-    if n == 0:
-        return np.zeros((0, k))
-    b = np.exp(loglik - loglik.max(axis=1, keepdims=True))
-    pieces = -(-n // chunk)
-    width = chunk + 2 * warm_up
-    padded = np.ones((pieces * chunk + 2 * warm_up, k))
-    padded[warm_up : warm_up + n] = b
-    at = np.arange(pieces)[:, None] * chunk + np.arange(width)[None, :]
-    e = padded[at]
+    k, width = len(initial), chunk + 2 * warm_up
+    pieces = [-(-len(x) // chunk) for x in series]
+    e = np.ones((sum(pieces), width, k))
+    begin = np.cumsum([0, *pieces])
+    for x, first, count in zip(series, begin, pieces):
+        padded = np.ones((count * chunk + 2 * warm_up, k))
+        padded[warm_up : warm_up + len(x)] = np.exp(x - x.max(axis=1, keepdims=True))
+        e[first : first + count] = padded[np.arange(count)[:, None] * chunk + np.arange(width)[None, :]]
     alpha, beta = np.empty_like(e), np.empty_like(e)
     a = initial[None, :] * e[:, 0]
     alpha[:, 0] = a / a.sum(axis=1, keepdims=True)
@@ -28,8 +27,10 @@ def posteriors(loglik: np.ndarray, transition: np.ndarray, initial: np.ndarray,
         a = (alpha[:, t - 1] @ transition) * e[:, t]
         alpha[:, t] = a / a.sum(axis=1, keepdims=True)
     beta[:, -1] = 1.0
+    back = transition.T
     for t in range(width - 2, -1, -1):
-        a = (beta[:, t + 1] * e[:, t + 1]) @ transition.T
+        a = (beta[:, t + 1] * e[:, t + 1]) @ back
         beta[:, t] = a / a.sum(axis=1, keepdims=True)
-    p = (alpha * beta)[:, warm_up : warm_up + chunk].reshape(-1, k)[:n]
-    return p / p.sum(axis=1, keepdims=True)
+    p = (alpha * beta)[:, warm_up : warm_up + chunk]
+    p = p / p.sum(axis=2, keepdims=True)
+    return [p[first : first + count].reshape(-1, k)[: len(x)] for x, first, count in zip(series, begin, pieces)]

@@ -23,7 +23,7 @@ from helmsway.operators.scan import NS, numbered
 
 #: Values that no road vehicle can have: m/s forward and to the side, rad/s.
 HARD_BOUNDS = {"vf": (-60.0, 100.0), "vl": (-30.0, 30.0), "yaw_rate": (-6.0, 6.0)}
-BLOCK, MARGIN = 2048, 64
+BLOCK, MARGIN = 4096, 64
 STUCK_RUN, LONGEST_SPIKE = 8, 12
 #: A departure counts from this many times the field's normal deviation on.
 FAR = 12.0
@@ -114,35 +114,38 @@ def _confirmed(v: np.ndarray, p_spike: np.ndarray, trusted: np.ndarray, far: flo
     return keep
 
 
-def _judge(t: np.ndarray, v: np.ndarray, standing: np.ndarray, scale: float, bounds: tuple[float, float], hole_ns: float) -> tuple[np.ndarray, np.ndarray]:
-    """State and fault probability of each reading of one block of one field, in order of time."""
-    n = v.size
-    outside = (v < bounds[0]) | (v > bounds[1]) | ~np.isfinite(v)
-    run, rests = _runs(v, standing)
-    same = (run >= STUCK_RUN) & ~standing & ~rests
-    scale = scale if np.isfinite(scale) and scale > 0 else max(1e-9, float(np.abs(v[~outside]).max(initial=0)) * 1e-3)
-    far = FAR * scale
-    away, trusted = np.zeros(n), np.ones(n, bool)
-    pieces = np.split(np.arange(n), np.flatnonzero(np.diff(t) > hole_ns) + 1)
-    for p in pieces:
-        inside = p[~outside[p] & ~same[p]]
-        if inside.size > 2:
-            away[inside], trusted[inside] = _departures(v[inside], far)
-    z = np.minimum(away / scale, 60.0)
-    loglik = np.empty((n, 4))
-    loglik[:, NORMAL] = -z - 30.0 * same
-    loglik[:, SPIKE] = np.log(1e-3) - 1.5 * np.maximum(FAR - z, 0) - 30.0 * same
-    loglik[:, STUCK] = np.where(same, 0.0, -30.0)
-    loglik[:, RANGE] = np.where(outside, 0.0, -40.0)
-    loglik[outside, NORMAL] -= 40.0
-    loglik[outside, SPIKE] -= 40.0
-    p = posteriors(loglik, TRANSITION, INITIAL)
-    spike = np.zeros(n, bool)
-    for q in pieces:
-        inside = q[~outside[q] & ~same[q]]
-        spike[inside] = _confirmed(v[inside], p[inside, SPIKE], trusted[inside], far)
-    state = np.where(outside, RANGE, np.where(same, STUCK, np.where(spike, SPIKE, NORMAL)))
-    return state, 1.0 - p[:, NORMAL]
+class Stretch:
+    """The readings of one field in one block, in order of time: evidence first, then a verdict."""
+
+    def __init__(self, t: np.ndarray, v: np.ndarray, standing: np.ndarray, scale: float, bounds: tuple[float, float], hole_ns: float):
+        n = v.size
+        self.v = v
+        self.outside = (v < bounds[0]) | (v > bounds[1]) | ~np.isfinite(v)
+        run, rests = _runs(v, standing)
+        self.same = (run >= STUCK_RUN) & ~standing & ~rests
+        known = np.isfinite(scale) and scale > 0
+        scale = scale if known else max(1e-9, float(np.abs(v[~self.outside]).max(initial=0)) * 1e-3)
+        self.far = FAR * scale
+        away, self.trusted = np.zeros(n), np.ones(n, bool)
+        self.pieces = []
+        for p in np.split(np.arange(n), np.flatnonzero(np.diff(t) > hole_ns) + 1):
+            inside = p[~self.outside[p] & ~self.same[p]]
+            self.pieces.append(inside)
+            if inside.size > 2:
+                away[inside], self.trusted[inside] = _departures(v[inside], self.far)
+        z = np.minimum(away / scale, 60.0)
+        self.loglik = np.empty((n, 4))
+        self.loglik[:, NORMAL] = -z - 30.0 * self.same - 40.0 * self.outside
+        self.loglik[:, SPIKE] = np.log(1e-3) - 1.5 * np.maximum(FAR - z, 0) - 30.0 * self.same - 40.0 * self.outside
+        self.loglik[:, STUCK] = np.where(self.same, 0.0, -30.0)
+        self.loglik[:, RANGE] = np.where(self.outside, 0.0, -40.0)
+
+    def verdict(self, p: np.ndarray) -> np.ndarray:
+        """The state of each reading, given the model's probabilities."""
+        spike = np.zeros(self.v.size, bool)
+        for inside in self.pieces:
+            spike[inside] = _confirmed(self.v[inside], p[inside, SPIKE], self.trusted[inside], self.far)
+        return np.where(self.outside, RANGE, np.where(self.same, STUCK, np.where(spike, SPIKE, NORMAL)))
 
 
 def flag_readings(readings: DataFrame, source: str, seq: str, time: str, fields: list[str], bounds: dict | None = None) -> DataFrame:
@@ -183,15 +186,19 @@ def flag_readings(readings: DataFrame, source: str, seq: str, time: str, fields:
         hole_ns = max(5.0 * step, 1.0)
         standing = ((pdf["vf"] == 0) & (pdf["vl"] == 0)).to_numpy() if {"vf", "vl"} <= set(fields) else np.zeros(t.size, bool)
         home = no // BLOCK == pdf["_block"].iloc[0]
+        places = {f: np.flatnonzero(pdf[f].notna().to_numpy()) for f in fields}
+        places = {f: at for f, at in places.items() if at.size}
+        parts = {
+            f: Stretch(t[at], pdf[f].to_numpy()[at].astype(float), standing[at], float(pdf[f"scale_{f}"].iloc[0] or np.nan), bounds.get(f, (-np.inf, np.inf)), hole_ns)
+            for f, at in places.items()
+        }
         out = []
-        for f in fields:
-            at = np.flatnonzero(pdf[f].notna().to_numpy())
-            if not at.size:
-                continue
-            state, p = _judge(t[at], pdf[f].to_numpy()[at].astype(float), standing[at], float(pdf[f"scale_{f}"].iloc[0] or np.nan), bounds.get(f, (-np.inf, np.inf)), hole_ns)
+        for (f, part), p in zip(parts.items(), posteriors([x.loglik for x in parts.values()], TRANSITION, INITIAL)):
+            at = places[f]
+            state = part.verdict(p)
             flagged = (state != NORMAL) & ~standing[at] & home[at]
             rows = at[flagged]
-            out.append(pd.DataFrame({"_source": pdf["_source"].to_numpy()[rows], "_seq": pdf["_seq"].to_numpy()[rows], "field_name": f, "fault": kinds[state[flagged]], "p_fault": p[flagged]}))
+            out.append(pd.DataFrame({"_source": pdf["_source"].to_numpy()[rows], "_seq": pdf["_seq"].to_numpy()[rows], "field_name": f, "fault": kinds[state[flagged]], "p_fault": 1.0 - p[flagged, NORMAL]}))
         return pd.concat(out) if out else pd.DataFrame({"_source": [], "_seq": [], "field_name": [], "fault": [], "p_fault": []})
 
     types = {c: t for c, t in plain.dtypes}
