@@ -25,6 +25,8 @@ from helmsway.operators.scan import NS, numbered
 HARD_BOUNDS = {"vf": (-60.0, 100.0), "vl": (-30.0, 30.0), "yaw_rate": (-6.0, 6.0)}
 BLOCK, MARGIN = 4096, 64
 STUCK_RUN, LONGEST_SPIKE = 8, 12
+#: Readings that the running median looks at.
+WINDOW = 2 * LONGEST_SPIKE + 3
 #: A departure counts from this many times the field's normal deviation on.
 FAR = 12.0
 NORMAL, SPIKE, STUCK, RANGE = range(4)
@@ -67,25 +69,38 @@ def _runs(v: np.ndarray, standing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(length, length), np.repeat(rests, length)
 
 
-def _steps(v: np.ndarray) -> np.ndarray:
-    """Steps between neighbours, less the usual step of the five before or after, whichever is nearer."""
-    d = pd.Series(np.diff(v))
+def _spread(v: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The readings with room between groups, so that no window over them reaches from one into the next."""
+    at = np.arange(v.size) + group * WINDOW
+    wide = np.full(at[-1] + 1, np.nan)
+    wide[at] = v
+    return wide, at
+
+
+def _steps(v: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Step from each reading to the next, less the usual step of the five before or after, whichever is nearer.
+
+    NaN from the last reading of a group to the first of the next.
+    """
+    wide, at = _spread(v, group)
+    d = pd.Series(np.diff(wide))
     before = d.shift(1).rolling(5, min_periods=1).median().fillna(0).to_numpy()
     after = d[::-1].shift(1).rolling(5, min_periods=1).median()[::-1].fillna(0).to_numpy()
     d = d.to_numpy()
-    return np.where(np.abs(d - before) < np.abs(d - after), d - before, d - after)
+    return np.where(np.abs(d - before) < np.abs(d - after), d - before, d - after)[at[:-1]]
 
 
-def _departures(v: np.ndarray, far: float) -> tuple[np.ndarray, np.ndarray]:
-    """How far each reading lies from the line between the nearest trusted ones, and which are trusted.
+def _departures(v: np.ndarray, group: np.ndarray, steps: np.ndarray, far: float) -> tuple[np.ndarray, np.ndarray]:
+    """How far each reading lies from the line between the nearest trusted ones of its group, and which are trusted.
 
     Readings that follow one another without a sudden step form a piece. Trusted is a piece with a
     reading close to the running median of the 27 round it, which a stretch of up to 12 cannot
     move, and any piece longer than that: so a change that builds up is trusted, a leap isn't.
     """
     n = v.size
-    middle = pd.Series(v).rolling(2 * LONGEST_SPIKE + 3, center=True, min_periods=1).median().to_numpy()
-    piece = np.r_[0, np.cumsum(np.abs(_steps(v)) > far)]
+    wide, place = _spread(v, group)
+    middle = pd.Series(wide).rolling(WINDOW, center=True, min_periods=1).median().to_numpy()[place]
+    piece = np.r_[0, np.cumsum((np.abs(steps) > far) | np.isnan(steps))]
     close = np.bincount(piece, np.abs(v - middle) <= far) > 0
     trusted = (close | (np.bincount(piece) > LONGEST_SPIKE))[piece]
     at = np.arange(n)
@@ -94,23 +109,26 @@ def _departures(v: np.ndarray, far: float) -> tuple[np.ndarray, np.ndarray]:
         return np.abs(v - middle), trusted
     before = known[np.clip(np.searchsorted(known, at, "left") - 1, 0, known.size - 1)]
     after = known[np.clip(np.searchsorted(known, at, "right"), 0, known.size - 1)]
-    before, after = np.where(before < at, before, after), np.where(after > at, after, before)
+    left, right = (before < at) & (group[before] == group), (after > at) & (group[after] == group)
+    before, after = np.where(left, before, after), np.where(right, after, before)
     line = v[before] + (v[after] - v[before]) * (at - before) / np.maximum(after - before, 1)
-    return np.abs(v - line), trusted
+    return np.where(left | right, np.abs(v - line), np.abs(v - middle)), trusted
 
 
-def _confirmed(v: np.ndarray, p_spike: np.ndarray, trusted: np.ndarray, far: float) -> np.ndarray:
+def _confirmed(p_spike: np.ndarray, trusted: np.ndarray, group: np.ndarray, steps: np.ndarray, far: float) -> np.ndarray:
     """Stretches that leap away and back again, are short and most likely spikes by the model.
 
-    A leap is a step beyond the usual steps round it; at an end of the series one side must do.
+    A leap is a step beyond the usual steps round it; at an end of a group one side must do.
     """
-    keep = np.zeros(v.size, bool)
-    steps = _steps(v)
-    edges = np.flatnonzero(np.diff(np.r_[0, (~trusted).astype(np.int8), 0]))
-    for a, b in zip(edges[::2], edges[1::2]):
-        leaps = ([steps[a - 1]] if a else []) + ([-steps[b - 1]] if b < v.size else [])
+    n = p_spike.size
+    keep = np.zeros(n, bool)
+    cuts = np.flatnonzero(np.r_[True, (trusted[1:] != trusted[:-1]) | (group[1:] != group[:-1]), True])
+    for a, b in zip(cuts, cuts[1:]):
+        if trusted[a] or b - a > LONGEST_SPIKE:
+            continue
+        leaps = ([steps[a - 1]] if a and group[a - 1] == group[a] else []) + ([-steps[b - 1]] if b < n and group[b] == group[a] else [])
         back = leaps and min(map(abs, leaps)) > far and np.sign(leaps[0]) == np.sign(leaps[-1])
-        keep[a:b] = bool(back) and b - a <= LONGEST_SPIKE and p_spike[a:b].mean() > 0.5
+        keep[a:b] = bool(back) and p_spike[a:b].mean() > 0.5
     return keep
 
 
@@ -126,13 +144,12 @@ class Stretch:
         known = np.isfinite(scale) and scale > 0
         scale = scale if known else max(1e-9, float(np.abs(v[~self.outside]).max(initial=0)) * 1e-3)
         self.far = FAR * scale
-        away, self.trusted = np.zeros(n), np.ones(n, bool)
-        self.pieces = []
-        for p in np.split(np.arange(n), np.flatnonzero(np.diff(t) > hole_ns) + 1):
-            inside = p[~self.outside[p] & ~self.same[p]]
-            self.pieces.append(inside)
-            if inside.size > 2:
-                away[inside], self.trusted[inside] = _departures(v[inside], self.far)
+        self.inside = np.flatnonzero(~self.outside & ~self.same)
+        self.group = np.r_[0, np.cumsum(np.diff(t) > hole_ns)][self.inside]
+        away = np.zeros(n)
+        if self.inside.size > 2:
+            self.steps = _steps(v[self.inside], self.group)
+            away[self.inside], self.trusted = _departures(v[self.inside], self.group, self.steps, self.far)
         z = np.minimum(away / scale, 60.0)
         self.loglik = np.empty((n, 4))
         self.loglik[:, NORMAL] = -z - 30.0 * self.same - 40.0 * self.outside
@@ -143,8 +160,8 @@ class Stretch:
     def verdict(self, p: np.ndarray) -> np.ndarray:
         """The state of each reading, given the model's probabilities."""
         spike = np.zeros(self.v.size, bool)
-        for inside in self.pieces:
-            spike[inside] = _confirmed(self.v[inside], p[inside, SPIKE], self.trusted[inside], self.far)
+        if self.inside.size > 2:
+            spike[self.inside] = _confirmed(p[self.inside, SPIKE], self.trusted, self.group, self.steps, self.far)
         return np.where(self.outside, RANGE, np.where(self.same, STUCK, np.where(spike, SPIKE, NORMAL)))
 
 
