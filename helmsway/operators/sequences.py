@@ -58,6 +58,29 @@ def slot_deadlines(df: DataFrame, keys: list[str], seq: str, due: str, period_ns
     return slots.select(*keys, seq, F.when(F.col("_first"), before).otherwise(inside).alias("deadline_ns"))
 
 
+def all_slots(df: DataFrame, keys: list[str], seq: str, due: str, periods: DataFrame, chunk: int = 100_000) -> DataFrame:
+    """(keys, seq, due, ``present``) of every slot from 0 to the key's largest number.
+
+    A slot is present if it has a row, with or without a due time. Of several rows of a number the
+    earliest due time counts; a slot without one gets its deadline as in ``slot_deadlines``, and behind the
+    last known one by the period. ``periods`` has (keys, ``period_ns``). A key without any due time has nulls.
+    """
+    own = df.where(F.col(seq) >= 0).groupBy(*keys, seq).agg(F.min(due).alias(due))
+    pairs = running(own.where(F.col(due).isNotNull()).withColumn("_pair", F.struct(F.col(seq), F.col(due))), keys, seq, "_pair", "_prev", chunk, how="max", strict=True)
+    low, high = F.struct(F.col(f"_prev.{seq}").alias("no"), F.col(f"_prev.{due}").alias("due")), F.struct(F.col(seq).alias("no"), F.col(due).alias("due"))
+    between = pairs.select(*keys, low.alias("_a"), high.alias("_b"), (F.coalesce(F.col(f"_prev.{seq}"), F.lit(-1)) + 1).alias("_from"), (F.col(seq) - 1).alias("_to"))
+    ends = own.groupBy(*keys).agg(F.max(F.when(F.col(due).isNotNull(), high)).alias("_a"), F.max(seq).alias("_to"))
+    none = F.lit(None).cast(dict(between.dtypes)["_b"])
+    behind = ends.select(*keys, "_a", none.alias("_b"), (F.coalesce(F.col("_a.no"), F.lit(-1)) + 1).alias("_from"), "_to")
+    runs = between.unionByName(behind).where(F.col("_from") <= F.col("_to")).join(periods, keys, "left")
+    slots = runs.select(*keys, "_a", "_b", "period_ns", F.explode(F.sequence("_from", "_to")).alias(seq))
+    inside = F.col("_a.due") + F.call_function("div", (F.col("_b.due") - F.col("_a.due")) * (F.col(seq) - F.col("_a.no")), F.col("_b.no") - F.col("_a.no"))
+    after = F.col("_a.due") + (F.col(seq) - F.col("_a.no")) * F.col("period_ns")
+    before = F.col("_b.due") - (F.col("_b.no") - F.col(seq)) * F.col("period_ns")
+    told = slots.select(*keys, seq, F.coalesce(inside, after, before).alias(due), F.lit(False).alias("present"))
+    return own.withColumn("present", F.lit(True)).unionByName(told).groupBy(*keys, seq).agg(F.max(due).alias(due), F.max("present").alias("present"))
+
+
 def held_worst(df: DataFrame, keys: list[str], order: str, severity: str, hold: int, chunk: int = 100_000) -> DataFrame:
     """Adds ``held``, the worst severity of this row and the ``hold`` - 1 before it, and ``was``, the row before's.
 

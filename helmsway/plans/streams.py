@@ -128,6 +128,31 @@ def deadline_lead(spark: SparkSession, d: str) -> DataFrame:
     return ahead.select("drive", "seq", skip.alias("skip_at_ns"), (F.col("arrival_ns") >= skip).alias("skipped"))
 
 
+def _slots(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "sweeps")
+    periods = rows.select("drive").distinct().withColumn("period_ns", F.lit(PERIOD_NS).cast("bigint"))
+    return sequences.all_slots(rows.select("drive", "seq", "due_ns"), ["drive"], "seq", "due_ns", periods, CHUNK)
+
+
+def drive_slots(spark: SparkSession, d: str) -> DataFrame:
+    """S7, ST5: every slot of a drive; a sweep that exists is Present even without a due time, which is then filled in."""
+    outcome, reason = F.when(F.col("present"), "Present").otherwise("Missing"), F.when(~F.col("present"), "absent_in_source")
+    return _slots(spark, d).select("drive", "seq", "due_ns", outcome.alias("outcome"), reason.alias("reason"))
+
+
+def absent_deadlines(spark: SparkSession, d: str) -> DataFrame:
+    """Deadlines of the sweeps that a drive lacks, and of no others."""
+    return _slots(spark, d).where(~F.col("present")).select("drive", "seq", F.col("due_ns").alias("deadline_ns"))
+
+
+def skip_deadlines(spark: SparkSession, d: str) -> DataFrame:
+    """W6, ST4: when a sweep's place is taken by the next, and whether it arrived after that; of every sweep, its due time filled in where it lacks."""
+    rows = _slots(spark, d).where("present").join(sweeps(spark, d).select("drive", "seq", "arrival_ns"), ["drive", "seq"])
+    ahead = sequences.with_next(rows, ["drive"], "due_ns", "next_due", 60_000_000_000)
+    skip = F.coalesce("next_due", F.col("due_ns") + PERIOD_NS)
+    return ahead.select("drive", "seq", skip.alias("skip_at_ns"), (F.col("arrival_ns") >= skip).alias("skipped"))
+
+
 def median_period(spark: SparkSession, d: str) -> DataFrame:
     """Median step between neighbouring sweep triggers of a drive, 100 ms where there is no step."""
     rows = table(spark, d, "sweeps").where(F.col("trigger_ns").isNotNull()).select("drive", "trigger_ns").distinct()
@@ -210,7 +235,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pair_interval, pair_stale, pair_outcomes, pair_by_seq, asof_seq, asof_time, seq_gap, net_seq_gap, absent_ranges, absent_phrases, absent_slots,
-        interpolate_deadline, dense_slots, deadline_lead, median_period, increasing_check, frame_index, silence, sticky_state, adjacent_sweeps, pairing_offset, ego_speed, ego_path, clock_due,
+        interpolate_deadline, dense_slots, deadline_lead, drive_slots, absent_deadlines, skip_deadlines, median_period, increasing_check, frame_index, silence, sticky_state, adjacent_sweeps, pairing_offset, ego_speed, ego_path, clock_due,
     )
 }
 
