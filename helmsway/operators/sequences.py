@@ -58,8 +58,8 @@ def slot_deadlines(df: DataFrame, keys: list[str], seq: str, due: str, period_ns
     return slots.select(*keys, seq, F.when(F.col("_first"), before).otherwise(inside).alias("deadline_ns"))
 
 
-def all_slots(df: DataFrame, keys: list[str], seq: str, due: str, periods: DataFrame, chunk: int = 100_000) -> DataFrame:
-    """(keys, seq, due, ``present``) of every slot from 0 to the key's largest number.
+def all_slots(df: DataFrame, keys: list[str], seq: str, due: str, periods: DataFrame, chunk: int = 100_000, others: DataFrame | None = None) -> DataFrame:
+    """(keys, seq, due, ``present``) of every slot from 0 to the key's largest number, or that of its ``others`` (keys, seq).
 
     A slot is present if it has a row, with or without a due time. Of several rows of a number the
     earliest due time counts; a slot without one gets its deadline as in ``slot_deadlines``, and behind the
@@ -70,6 +70,9 @@ def all_slots(df: DataFrame, keys: list[str], seq: str, due: str, periods: DataF
     low, high = F.struct(F.col(f"_prev.{seq}").alias("no"), F.col(f"_prev.{due}").alias("due")), F.struct(F.col(seq).alias("no"), F.col(due).alias("due"))
     between = pairs.select(*keys, low.alias("_a"), high.alias("_b"), (F.coalesce(F.col(f"_prev.{seq}"), F.lit(-1)) + 1).alias("_from"), (F.col(seq) - 1).alias("_to"))
     ends = own.groupBy(*keys).agg(F.max(F.when(F.col(due).isNotNull(), high)).alias("_a"), F.max(seq).alias("_to"))
+    if others is not None:
+        longest = others.groupBy(*keys).agg(F.max(seq).alias("_longest"))
+        ends = ends.join(longest, keys, "left").withColumn("_to", F.greatest("_to", "_longest")).drop("_longest")
     none = F.lit(None).cast(dict(between.dtypes)["_b"])
     behind = ends.select(*keys, "_a", none.alias("_b"), (F.coalesce(F.col("_a.no"), F.lit(-1)) + 1).alias("_from"), "_to")
     runs = between.unionByName(behind).where(F.col("_from") <= F.col("_to")).join(periods, keys, "left")

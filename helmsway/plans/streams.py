@@ -129,13 +129,17 @@ def deadline_lead(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _slots(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "sweeps")
-    periods = rows.select("drive").distinct().withColumn("period_ns", F.lit(PERIOD_NS).cast("bigint"))
-    return sequences.all_slots(rows.select("drive", "seq", "due_ns"), ["drive"], "seq", "due_ns", periods, CHUNK)
+    """Up to the longest of a drive's numbered streams: sweeps and frames of either side (motion readings have their own numbering)."""
+    return sequences.all_slots(table(spark, d, "sweeps"), ["drive"], "seq", "due_ns", _periods(spark, d), CHUNK, table(spark, d, "frames").select("drive", "seq"))
+
+
+def _periods(spark: SparkSession, d: str) -> DataFrame:
+    """The median period of every drive, that of drives without any trigger too."""
+    return table(spark, d, "sweeps").select("drive").distinct().join(median_period(spark, d), "drive", "left").select("drive", F.coalesce("period_ns", F.lit(100_000_000)).alias("period_ns"))
 
 
 def drive_slots(spark: SparkSession, d: str) -> DataFrame:
-    """S7, ST5: every slot of a drive; a sweep that exists is Present even without a due time, which is then filled in."""
+    """S7, ST5: every slot of a drive, to the end of its longest stream; a sweep that exists is Present even without a due time, which is then filled in."""
     outcome, reason = F.when(F.col("present"), "Present").otherwise("Missing"), F.when(~F.col("present"), "absent_in_source")
     return _slots(spark, d).select("drive", "seq", "due_ns", outcome.alias("outcome"), reason.alias("reason"))
 
@@ -149,8 +153,8 @@ def skip_deadlines(spark: SparkSession, d: str) -> DataFrame:
     """W6, ST4: when a sweep's place is taken by the next, and whether it arrived after that; of every sweep, its due time filled in where it lacks."""
     rows = _slots(spark, d).where("present").join(sweeps(spark, d).select("drive", "seq", "arrival_ns"), ["drive", "seq"])
     ahead = sequences.with_next(rows, ["drive"], "due_ns", "next_due", 60_000_000_000)
-    skip = F.coalesce("next_due", F.col("due_ns") + PERIOD_NS)
-    return ahead.select("drive", "seq", skip.alias("skip_at_ns"), (F.col("arrival_ns") >= skip).alias("skipped"))
+    skip = F.coalesce("next_due", F.col("due_ns") + F.col("period_ns"))
+    return ahead.join(_periods(spark, d), "drive").select("drive", "seq", skip.alias("skip_at_ns"), (F.col("arrival_ns") >= skip).alias("skipped"))
 
 
 def median_period(spark: SparkSession, d: str) -> DataFrame:
@@ -283,7 +287,25 @@ p AS (SELECT *, lag(seq) OVER w AS a, lag(due) OVER w AS da FROM k WINDOW w AS (
 x AS (SELECT *, unnest(generate_series(coalesce(a, -1) + 1, seq - 1)) AS slot FROM p),
 absent AS (SELECT drive, slot AS seq, CASE WHEN a IS NULL THEN due - (seq - slot) * 103000000 ELSE da + ((due - da) * (slot - a)) // (seq - a) END AS deadline_ns FROM x)"""
 
+_SLOTS = """
+WITH own AS (SELECT drive, seq, min(due_ns) AS due, min(arrival_ns) AS arrival_ns FROM sweeps GROUP BY ALL),
+tops AS (SELECT drive, max(seq) AS top FROM (SELECT drive, seq FROM sweeps UNION ALL SELECT drive, seq FROM frames WHERE drive IN (SELECT drive FROM own)) GROUP BY drive),
+t AS (SELECT DISTINCT drive, trigger_ns FROM sweeps WHERE trigger_ns IS NOT NULL),
+steps AS (SELECT drive, trigger_ns - lag(trigger_ns) OVER (PARTITION BY drive ORDER BY trigger_ns) AS step FROM t),
+per AS (SELECT drive, coalesce(quantile_disc(step, 0.5), 100000000) AS period FROM tops LEFT JOIN steps USING (drive) GROUP BY drive),
+grid AS (SELECT drive, unnest(generate_series(0, top)) AS seq FROM tops),
+g AS (SELECT grid.drive, grid.seq, period, due, own.seq IS NOT NULL AS present, arrival_ns, CASE WHEN due IS NOT NULL THEN {'no': grid.seq, 'due': due} END AS k
+  FROM grid LEFT JOIN own ON own.drive = grid.drive AND own.seq = grid.seq JOIN per ON per.drive = grid.drive),
+n AS (SELECT *, max(k) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a, min(k) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM g WINDOW w AS (PARTITION BY drive ORDER BY seq)),
+slots AS (SELECT drive, seq, present, arrival_ns, period, CASE WHEN due IS NOT NULL THEN due WHEN b IS NULL THEN a.due + (seq - a.no) * period WHEN a IS NULL THEN b.due - (b.no - seq) * period
+  ELSE a.due + ((b.due - a.due) * (seq - a.no)) // (b.no - a.no) END AS due_ns FROM n)"""
+
 SQL = {
+    "drive_slots": _SLOTS + " SELECT drive, seq, due_ns, CASE WHEN present THEN 'Present' ELSE 'Missing' END AS outcome, CASE WHEN NOT present THEN 'absent_in_source' END AS reason FROM slots",
+    "absent_deadlines": _SLOTS + " SELECT drive, seq, due_ns AS deadline_ns FROM slots WHERE NOT present",
+    "skip_deadlines": _SLOTS
+    + """, d AS (SELECT DISTINCT drive, due_ns, period FROM slots WHERE present), l AS (SELECT *, lead(due_ns) OVER (PARTITION BY drive ORDER BY due_ns) AS next_due FROM d)
+SELECT s.drive, s.seq, coalesce(next_due, s.due_ns + s.period) AS skip_at_ns, arrival_ns >= skip_at_ns AS skipped FROM slots s LEFT JOIN l ON l.drive = s.drive AND l.due_ns = s.due_ns WHERE present""",
     "pair_interval": _pair_sql(0) + " SELECT drive, seq, pair_seq, pair_ns, outcome FROM paired",
     "pair_stale": _pair_sql(120_000_000) + " SELECT drive, seq, pair_seq, pair_ns, outcome FROM paired",
     "pair_outcomes": _pair_sql(0) + " SELECT drive, outcome, count(*) AS n FROM paired GROUP BY GROUPING SETS ((drive, outcome), (outcome), ())",

@@ -8,10 +8,10 @@ from helmsway.plans import streams
 ROWS = [("d", 1, 100), ("d", 1, 90), ("d", 2, None), ("d", 4, 150), ("d", 5, None), ("n", 1, None)]
 
 
-def slots(spark, rows=ROWS, more=()):
-    df = spark.createDataFrame([*rows, *more], "drive string, seq bigint, due bigint")
+def slots(spark, others=None):
+    df = spark.createDataFrame(ROWS, "drive string, seq bigint, due bigint")
     periods = spark.createDataFrame([("d", 10), ("n", 10)], "drive string, period_ns bigint")
-    return {(r["drive"], r["seq"]): (r["due"], r["present"]) for r in sequences.all_slots(df, ["drive"], "seq", "due", periods, 3).collect()}
+    return {(r["drive"], r["seq"]): (r["due"], r["present"]) for r in sequences.all_slots(df, ["drive"], "seq", "due", periods, 3, others).collect()}
 
 
 def test_sweeps_without_a_due_time_are_present(spark):
@@ -21,6 +21,20 @@ def test_sweeps_without_a_due_time_are_present(spark):
     }
 
 
+def test_slots_reach_to_the_end_of_the_longest_stream(spark):
+    others = spark.createDataFrame([("d", 7), ("n", 0), ("other", 9)], "drive string, seq bigint")
+    assert slots(spark, others) == slots(spark) | {("d", 6): (170, False), ("d", 7): (180, False)}
+
+
+def test_period_is_the_drives_own(spark, tmp_path):
+    times = "tov_start_ns bigint, tov_end_ns bigint, trigger_ns bigint, due_ns bigint, arrival_ns bigint"
+    sweeps = [(d, i, i * p, i * p + p, i * p, i * p, i * p) for d, p in (("a", 97), ("b", 110)) for i in (1, 2, 3)]
+    spark.createDataFrame(sweeps, f"drive string, seq bigint, {times}").write.parquet(f"{tmp_path}/sweeps.parquet")
+    spark.createDataFrame([("a", 4), ("b", 2)], "drive string, seq bigint").write.parquet(f"{tmp_path}/frames.parquet")
+    assert {tuple(r) for r in streams.absent_deadlines(spark, str(tmp_path)).collect()} == {("a", 0, 0), ("b", 0, 0), ("a", 4, 4 * 97)}
+    assert {r["drive"]: r["skip_at_ns"] for r in streams.skip_deadlines(spark, str(tmp_path)).where("seq = 3").collect()} == {"a": 4 * 97, "b": 4 * 110}
+
+
 def test_every_sweep_has_a_row(spark):
     here = {tuple(r) for r in streams.sweeps(spark, SMALL).select("drive", "seq").collect()}
     present = {(r["drive"], r["seq"]) for r in streams.drive_slots(spark, SMALL).where("outcome = 'Present'").collect()}
