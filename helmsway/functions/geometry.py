@@ -152,6 +152,18 @@ def tangent(along: Column, k: Column) -> tuple[Column, Column]:
     return F.cos(along * F.abs(k)), F.signum(k) * F.sin(along * F.abs(k))
 
 
+def reaches(x: Column, y: Column, dx: Column, dy: Column, yaw: Column, k: Column, half_width: float) -> Column:
+    """Whether a turned rectangle reaches the corridor of ``half_width`` either side of a path of curvature ``k``."""
+    corners = footprint(x, y, dx, dy, yaw)
+    r = F.lit(1.0) / F.nullif(k, F.lit(0.0))
+    u = -x * F.cos(yaw) + (r - y) * F.sin(yaw)
+    v = x * F.sin(yaw) + (r - y) * F.cos(yaw)
+    near = F.hypot(F.greatest(F.abs(u) - dx / 2, F.lit(0.0)), F.greatest(F.abs(v) - dy / 2, F.lit(0.0)))
+    far = F.greatest(*[F.hypot(a, b - r) for a, b in corners])
+    straight = (F.least(*[b for _, b in corners]) <= half_width) & (F.greatest(*[b for _, b in corners]) >= -half_width)
+    return F.when(k == 0, straight).otherwise((near <= F.abs(r) + half_width) & (far >= F.abs(r) - half_width))
+
+
 def path_point(along: Column, offset: Column, k: Column) -> tuple[Column, Column]:
     """The point ``along`` metres down the path and ``offset`` to its left."""
     r = F.lit(1.0) / F.nullif(k, F.lit(0.0))

@@ -99,6 +99,21 @@ def fuse(tracks: DataFrame, dets: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("population", F.when(F.col("det_idx").isNotNull(), "fused").otherwise("lidar_only"))
 
 
+def camera_only(dets: DataFrame, fused: DataFrame, keys: list[str], ranges: DataFrame | None = None) -> DataFrame:
+    """The detections that ``fuse`` matched with no track; with ``ranges`` (of ``stereo``) just those with a range, which is added."""
+    rest = dets.join(fused.where(F.col("det_idx").isNotNull()).select(*keys, "det_idx"), [*keys, "det_idx"], "left_anti")
+    return rest if ranges is None else rest.join(ranges.where(F.col("range_m") > 0).select(*keys, "det_idx", "range_m"), [*keys, "det_idx"])
+
+
+def fusion_balance(dets: DataFrame, fused: DataFrame, rest: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ``detections, fused, camera_only, ok``): whether every detection went just one place (``rest`` from ``camera_only``)."""
+    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    out = count(dets, "detections")
+    for part in (count(fused.where(F.col("det_idx").isNotNull()), "fused"), count(rest, "camera_only")):
+        out = out.join(part, keys, "full_outer")
+    return out.fillna(0, ["detections", "fused", "camera_only"]).withColumn("ok", F.col("detections") == F.col("fused") + F.col("camera_only"))
+
+
 def stereo(left: DataFrame, right: DataFrame, keys: list[str], px_m: float) -> DataFrame:
     """(keys, ``det_idx, right_idx, range_m``) of left detections that the right image has too.
 

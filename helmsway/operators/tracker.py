@@ -134,11 +134,13 @@ def follow(dets: DataFrame, drive: str, seq: str, at_ns: str, idx: str, ego: tup
     return rows.select(drive, seq, "stretch", at_ns, idx, "x", "y", "z", *own).groupBy(drive, "stretch").applyInPandas(run, schema)
 
 
-def answers(tracks: DataFrame, keys: list[str], vf: str | None = None, k: str | None = None, voxel_m: float = VOXEL_M) -> DataFrame:
+def answers(tracks: DataFrame, keys: list[str], vf: str | None = None, k: str | None = None, voxel_m: float = VOXEL_M, box: list[str] | None = None, rect: list[str] | None = None) -> DataFrame:
     """Adds ``offset_m, distance_m, closing_mps, ttc_s, in_path, nearest`` to tracks.
 
     The path is the arc of curvature ``k`` (straight without); a track stands on it within half the
-    vehicle's width and ahead. Only tracks seen in this sweep answer; the nearest, ties to the
+    vehicle's width and ahead. ``box`` names the columns of its cluster's box (min_x, min_y, max_x, max_y), of
+    whose corners the nearest along the path is then its distance; ``rect`` those of its lidar box (x, y, dx,
+    dy, yaw), which is then what must reach the corridor. Where these are null the centre counts. Only tracks seen in this sweep answer; the nearest, ties to the
     smaller id, is flagged.
     """
     path = F.col(k) if k else F.lit(0.0)
@@ -147,9 +149,25 @@ def answers(tracks: DataFrame, keys: list[str], vf: str | None = None, k: str |
     toward = -(F.col("vx") * tx + F.col("vy") * ty)
     closing = toward + F.col(vf) if vf else toward
     ttc = g.time_to_contact(F.col("distance_m"), F.col("closing_mps"), F.lit(voxel_m), F.col("age_s"))
+    distance, reach = along, F.abs("offset_m") <= g.HALF_WIDTH_M
+    if box:
+        x0, y0, x1, y1 = (F.col(c) for c in box)
+        distance = F.coalesce(F.least(*[g.locate(x, y, path)[1] for x in (x0, x1) for y in (y0, y1)]), along)
+    if rect:
+        reach = F.coalesce(g.reaches(*[F.col(c) for c in rect], path, g.HALF_WIDTH_M), reach)
     told = (
-        tracks.withColumn("offset_m", offset).withColumn("distance_m", along).withColumn("closing_mps", closing).withColumn("ttc_s", ttc)
-        .withColumn("in_path", (F.col("misses") == 0) & (F.col("distance_m") > 0) & (F.abs("offset_m") <= g.HALF_WIDTH_M))
+        tracks.withColumn("offset_m", offset).withColumn("distance_m", distance).withColumn("closing_mps", closing).withColumn("ttc_s", ttc)
+        .withColumn("in_path", (F.col("misses") == 0) & (F.col("distance_m") > 0) & reach)
     )
     first = F.min(F.when(F.col("in_path"), F.struct("distance_m", "track_id"))).over(Window.partitionBy(*keys))
     return told.withColumn("_n", first).withColumn("nearest", F.coalesce(F.col("in_path") & (F.col("track_id") == F.col("_n.track_id")), F.lit(False))).drop("_n")
+
+
+def most_urgent(answers: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """(keys, the whole row) of the answer with the smallest positive time to contact, the first of equals.
+
+    An answer is the nearest on the path of its sweep, as ``answers`` flags it.
+    """
+    closing = answers.where(F.col("nearest") & (F.col("ttc_s") > 0) & ~F.isnan("ttc_s"))
+    rest = [c for c in answers.columns if c not in keys]
+    return closing.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("ttc_s", seq)).alias("_b")).select(*keys, "_b.*")

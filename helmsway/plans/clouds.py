@@ -146,11 +146,16 @@ def track_points(spark: SparkSession, d: str) -> DataFrame:
     return tracker.answers(told, ["drive", "seq"])
 
 
+def most_urgent(spark: SparkSession, d: str) -> DataFrame:
+    """Per drive of such points, the answer with the smallest positive time to contact."""
+    return tracker.most_urgent(track_points(spark, d), ["drive"], "seq")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         voxel_reduce, voxel_stats, roi_filter, neighbour_pairs, components, detections, shape_table, answer_text, ground_plane, persistence, first_n_per_cell, point_in_rect,
-        nearest_in_path, greedy_match, nms, box_iou, track_points,
+        nearest_in_path, greedy_match, nms, box_iou, track_points, most_urgent,
     )
 }
 

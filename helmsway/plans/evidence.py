@@ -14,6 +14,13 @@ OUTCOMES = {"delivered": "Delivered", "dropped_oldest": "DroppedOldest", "droppe
 #: Names of the streams by number.
 STREAMS = {0: "cam0", 1: "lidar", 2: "oxts", 3: "lidar_det", 4: "cam_det", 5: "ego", 6: "tracks", 7: "lidar_obj", 8: "cam1", 9: "cam1_det", 10: "pillar_det"}
 
+#: The stream that an edge carries, and the one that the stage behind it produces.
+EDGES = {
+    "cam0->camdet": (0, 4), "cam0->proc": (0, None), "cam0->rerun": (0, None), "cam1->camdet": (8, 9), "cam1_det->track": (9, None), "cam_det->track": (4, None),
+    "det->cloud": (3, None), "det->detect": (3, 7), "obj->sink": (7, None), "obj->track": (7, 6), "oxts->track": (2, None), "pillar_det->track": (10, None),
+    "state->sink": (5, None), "track->state": (6, 5), "velo->cloud": (1, None), "velo->pillars": (1, 10), "velo->reduce": (1, 3),
+}
+
 
 def rows_once(spark: SparkSession, d: str) -> DataFrame:
     """Evidence with copies of a row (same epoch, edge and number) taken once, as first arrived."""
@@ -56,6 +63,32 @@ def conservation(spark: SparkSession, d: str) -> DataFrame:
     return got.select(*EPOCH, "edge", "rows", (total == F.col("rows")).alias("adds_up"), (F.col("lost") == 0).alias("all_taken"))
 
 
+def invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Per epoch, sums that must agree, as ``counted`` and ``expected``.
+
+    driver: admitted and missing samples of a sensor against what its drive holds; rows: samples on an edge
+    against those admitted to its stream; settled: delivered and dropped ones against the same; stage:
+    samples produced against those delivered to the stage (its errors leave no row in evidence).
+    """
+    rows = rows_once(spark, d)
+    gone = F.col("outcome") == "Missing"
+    samples = rows.groupBy(*EPOCH, "stream", "seq").agg(F.max(gone).alias("gone")).groupBy(*EPOCH, "stream").agg(F.count_if(~F.col("gone")).alias("admitted"), F.count(F.lit(1)).alias("known"))
+    edges = rows.groupBy(*EPOCH, "edge").agg(
+        F.count_if(~gone).alias("passed"), F.count_if(F.col("outcome") == "Delivered").alias("delivered"), F.count_if(F.col("outcome").isin("DroppedOldest", "DroppedNewest", "Timeout")).alias("dropped")
+    )
+    fixed = F.broadcast(spark.createDataFrame([(k, a, b) for k, (a, b) in EDGES.items()], "edge string, stream int, makes int"))
+    produced = samples.select(*EPOCH, F.col("stream").alias("makes"), F.col("admitted").alias("produced"))
+    on = samples.join(fixed, "stream").join(edges, [*EPOCH, "edge"], "left").join(produced, [*EPOCH, "makes"], "left").fillna(0, ["passed", "delivered", "dropped", "produced"])
+    check = lambda kind, got, want: F.struct(F.concat_ws(" ", F.lit(kind), "edge").alias("name"), got.alias("counted"), want.alias("expected"))
+    checks = F.array(check("rows", F.col("passed"), F.col("admitted")), check("settled", F.col("delivered") + F.col("dropped"), F.col("admitted")), F.when(F.col("makes").isNotNull(), check("stage", F.col("produced"), F.col("delivered"))))
+    along = on.select(*EPOCH, F.inline(F.array_compact(checks)))
+    held = lambda t, where, stream: table(spark, d, t).where(where).groupBy("drive").agg(F.count_distinct("seq").alias("expected")).withColumn("stream", F.lit(stream))
+    holds = held("frames", F.col("side") == "left", 0).unionByName(held("sweeps", F.lit(True), 1)).unionByName(held("ego", F.lit(True), 2)).unionByName(held("frames", F.col("side") == "right", 8))
+    drivers = table(spark, d, "runs").select(*EPOCH, "drive").distinct().join(holds, "drive").join(samples, [*EPOCH, "stream"], "left")
+    sensors = drivers.select(*EPOCH, F.concat_ws(" ", F.lit("driver"), "stream").alias("name"), F.coalesce("known", F.lit(0)).alias("counted"), "expected")
+    return along.unionByName(sensors).withColumn("ok", F.col("counted") == F.col("expected"))
+
+
 def never_reached(spark: SparkSession, d: str) -> DataFrame:
     """Sweeps of an epoch that didn't reach the tracker, and the parts that explain them."""
     rows = rows_once(spark, d)
@@ -171,7 +204,7 @@ def age_words(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        stage_summary, steady_age, upper_median, conservation, never_reached, admission_order, parent_check, orphans, gap_frames_used, class_histogram,
+        stage_summary, steady_age, upper_median, conservation, invariants, never_reached, admission_order, parent_check, orphans, gap_frames_used, class_histogram,
         stream_names, drive_catalogue, copy_check, slowest_answer, chain_shrink, health_events, age_words,
     )
 }
@@ -185,6 +218,20 @@ WITH e AS (
 _LOST = "('DroppedOldest', 'DroppedNewest', 'Timeout', 'Missing')"
 
 SQL = {
+    "invariants": _ROWS
+    + ", edges AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {a}, {'NULL' if b is None else b})" for k, (a, b) in EDGES.items()) + ") v(edge, stream, makes)),\n"
+    + """s AS (SELECT run_id, epoch, stream, count(DISTINCT seq) AS known, count(DISTINCT seq) - count(DISTINCT seq) FILTER (outcome = 'Missing') AS admitted FROM e GROUP BY ALL),
+x AS (SELECT s.run_id, s.epoch, edges.edge, makes, admitted, (SELECT count(*) FROM e WHERE e.run_id = s.run_id AND e.epoch = s.epoch AND e.edge = edges.edge AND outcome <> 'Missing') AS passed,
+  (SELECT count(*) FROM e WHERE e.run_id = s.run_id AND e.epoch = s.epoch AND e.edge = edges.edge AND outcome = 'Delivered') AS delivered,
+  (SELECT count(*) FROM e WHERE e.run_id = s.run_id AND e.epoch = s.epoch AND e.edge = edges.edge AND outcome IN ('Delivered', 'DroppedOldest', 'DroppedNewest', 'Timeout')) AS settled
+  FROM s JOIN edges ON s.stream = edges.stream),
+h AS (SELECT drive, CASE side WHEN 'left' THEN 0 ELSE 8 END AS stream, count(DISTINCT seq) AS n FROM frames GROUP BY ALL UNION ALL SELECT drive, 1, count(DISTINCT seq) FROM sweeps GROUP BY ALL
+  UNION ALL SELECT drive, 2, count(DISTINCT seq) FROM ego GROUP BY ALL),
+c AS (SELECT run_id, epoch, 'rows ' || edge AS name, passed AS counted, admitted AS expected FROM x UNION ALL SELECT run_id, epoch, 'settled ' || edge, settled, admitted FROM x
+  UNION ALL SELECT x.run_id, x.epoch, 'stage ' || edge, coalesce(s.admitted, 0), delivered FROM x LEFT JOIN s ON s.run_id = x.run_id AND s.epoch = x.epoch AND s.stream = x.makes WHERE makes IS NOT NULL
+  UNION ALL SELECT r.run_id, r.epoch, 'driver ' || h.stream, coalesce(known, 0), n FROM (SELECT DISTINCT run_id, epoch, drive FROM runs) r JOIN h ON h.drive = r.drive
+    LEFT JOIN s ON s.run_id = r.run_id AND s.epoch = r.epoch AND s.stream = h.stream)
+SELECT *, counted = expected AS ok FROM c""",
     "stage_summary": _ROWS
     + """
 SELECT edge, count(*) FILTER (outcome = 'Delivered') AS delivered, count(*) FILTER (outcome = 'DroppedOldest') AS dropped_oldest, count(*) FILTER (outcome = 'DroppedNewest') AS dropped_newest,
