@@ -54,7 +54,8 @@ def pack(items: DataFrame, item: str, source: str, size: str, capacity: int = CA
     ``piece`` counts the parts of an item from 0, ``place`` is where it begins in its container.
     Without ``proportions`` the target is each source's own share of all tokens, so that all queues
     end together; given proportions (by source; others share what is left by size) rule as long as
-    their queues last. Items of size 0 or null lie in the first container of the window they fall
+    their queues last. Sources that this leaves without a share come after the last window of the
+    others, by their own sizes. Items of size 0 or null lie in the first container of the window they fall
     into and take no room. A null source is a source of its own. Rows are items: repeated rows are
     packed as often as they occur. Empty input gives an empty result.
     """
@@ -68,16 +69,22 @@ def pack(items: DataFrame, item: str, source: str, size: str, capacity: int = CA
         shares = shares.withColumn("_wanted", F.when(F.col("_source").eqNullSafe(F.lit(name)), F.lit(float(share) / max(given, 1.0))).otherwise(F.col("_wanted")))
     if proportions:
         others = shares.agg(F.sum(F.when(F.col("_wanted").isNull(), F.col("_tokens")))).first()[0] or 0
+        unserved = F.coalesce("_wanted", F.lit(max(0.0, 1.0 - given))) <= 0
         rest = max(0.0, 1.0 - given) * F.col("_tokens") / max(others, 1)
-        shares = shares.withColumn("_share", F.coalesce("_wanted", rest))
+        late = shares.agg(F.sum(F.when(unserved, F.col("_tokens")))).first()[0] or 0
+        own = F.col("_tokens") / max(late, 1)
+        shares = shares.withColumn("_late", unserved).withColumn("_share", F.when(unserved, own).otherwise(F.coalesce("_wanted", rest)))
     else:
-        shares = shares.withColumn("_share", F.col("_tokens") / F.lit(float(max(tokens, 1))))
-    shares = shares.select(F.col("_source").alias("_of"), (F.col("_share") * float(window * capacity)).alias("_credit"))
+        shares = shares.withColumn("_late", F.lit(False)).withColumn("_share", F.col("_tokens") / F.lit(float(max(tokens, 1))))
+    shares = shares.select(F.col("_source").alias("_of"), "_late", (F.col("_share") * float(window * capacity)).alias("_credit"))
 
     queued = rows.withColumn("_order", F.shiftrightunsigned(F.xxhash64("_item", "_source"), 1))
     sent = running(queued, ["_source"], "_order", "_size", "_sent", span)
     round_no = F.when(F.col("_credit") > 0, F.ceil(F.col("_sent") / F.col("_credit") - 1e-9)).otherwise(1)
     served = sent.join(shares, F.col("_source").eqNullSafe(F.col("_of")), "left").withColumn("_window", F.greatest(round_no, F.lit(1)).cast("bigint") - 1)
+    if proportions:
+        last = served.where(~F.col("_late")).agg(F.max("_window")).first()[0]
+        served = served.withColumn("_window", F.col("_window") + F.when(F.col("_late"), F.lit(0 if last is None else last + 1)).otherwise(0))
     served = served.select("_item", "_source", "_size", "_window", "_order")
 
     def lay(pdf: pd.DataFrame) -> pd.DataFrame:

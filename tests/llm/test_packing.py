@@ -71,3 +71,17 @@ def test_edges(spark):
     assert len(packed) == 6 and len({r["container_id"] for r in packed}) == 6
     twice = spark.createDataFrame([(1, "a", 10, 5), (1, "a", 10, 5)], COLUMNS + ", place int")
     assert packing.pack(twice, "doc_id", "source", "n_tokens").count() == 2
+
+
+def test_a_source_left_out_of_the_proportions_comes_last_in_windows_of_its_own(spark):
+    rows = items()
+    packed = packing.pack(spark.createDataFrame(rows, COLUMNS), "doc_id", "source", "n_tokens", capacity=1024, window=64, proportions={"a": 0.8, "b": 0.2}).collect()
+    check(rows, packed, 1024)
+    tokens = {}
+    for p in packed:
+        key = p["source"] is None, p["window_no"]
+        tokens[key] = tokens.get(key, 0) + p["piece_size"]
+    late, others = {w: n for (l, w), n in tokens.items() if l}, {w for l, w in tokens if not l}
+    assert min(late) == max(others) + 1 and all(n <= 64 * 1024 + 10_000 for n in late.values())
+    everything = packing.pack(spark.createDataFrame(rows, COLUMNS), "doc_id", "source", "n_tokens", capacity=256, window=8, proportions={"a": 1.0}).groupBy("window_no").sum("piece_size").collect()
+    assert max(r[1] for r in everything) <= 8 * 256 + 2 * 10_000
