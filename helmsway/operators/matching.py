@@ -136,11 +136,20 @@ def name_tracks(tracks: DataFrame, boxes: DataFrame, keys: list[str], least: flo
     """(keys, ``track_id, det_idx, class_id, score``): the best-scored ground box round each track's centre.
 
     A box may name several tracks; equal scores go to the smaller number. Tracks without a box have nulls.
+    Boxes stand in cells as large as the widest half diagonal of their group, tracks ask the 9 round theirs.
     """
     b = boxes.where(F.col("score") >= least).withColumnsRenamed({"x": "bx", "y": "by"})
     inside = g.in_rotated_box(*[F.col(c) for c in ("x", "y", "bx", "by", "dx", "dy", "yaw")])
     hit = F.min_by(F.struct("det_idx", "class_id", "score"), F.struct(-F.col("score"), F.col("det_idx")))
-    named = tracks.join(b, keys).where(inside).groupBy(*keys, "track_id").agg(hit.alias("_h"))
+    b = b.where(g.finite(F.col("bx"), F.col("by"), F.col("yaw")))
+    wide = F.max(F.nanvl(F.hypot("dx", "dy"), F.lit(float("inf"))) / 2)
+    edges = b.groupBy(*keys).agg(F.greatest(wide * 1.000001, F.lit(1e-3)).alias("_edge"))
+    at = lambda c: F.floor(F.col(c) / F.col("_edge"))
+    steps = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    asking = tracks.where(g.finite(F.col("x"), F.col("y"))).join(edges, keys).select(*keys, "track_id", "x", "y", at("x").alias("_cx"), at("y").alias("_cy"), F.inline(steps))
+    asking = asking.select(*keys, "track_id", "x", "y", (F.col("_cx") + F.col("_i")).alias("_ix"), (F.col("_cy") + F.col("_j")).alias("_iy"))
+    there = b.join(edges, keys).withColumn("_ix", at("bx")).withColumn("_iy", at("by")).drop("_edge")
+    named = asking.join(there, [*keys, "_ix", "_iy"]).where(inside).groupBy(*keys, "track_id").agg(hit.alias("_h"))
     return tracks.select(*keys, "track_id").join(named, [*keys, "track_id"], "left").select(*keys, "track_id", "_h.*")
 
 
