@@ -1,62 +1,69 @@
 """Subject areas of documents from latent Dirichlet topics.
 
-1. Every document becomes its set of words: runs of letters, so that names in code such as
-   ``filing_fee`` or ``filingFee`` count as their words.
-2. The vocabulary is what the whole corpus uses neither rarely nor everywhere, without words that the
-   labelled sample shows to be spread over all subjects.
-3. A latent Dirichlet topic model is fitted to all documents, in mini-batches over the cluster.
-4. Each topic's top terms are inspected: a subject takes the topic if the terms' affinities to
-   subjects, learned from the labelled sample, agree on it. Other topics are background.
-5. The topics of a subject are put together, with the words of its labelled documents and beside one
-   background topic, and fitted to all documents in a few more passes: so words that the first
-   model left in a topic of another subject, as it does with rare languages, find their place.
-6. A document is about a subject if the subject's topic takes a large enough share of its words and
+1. Every document becomes its set of words: runs of letters of any script, so that names in code such
+   as ``filing_fee`` or ``filingFee`` count as their words; scripts that leave no room between words
+   (Chinese, Japanese, Thai and the like) count by pairs of characters.
+2. The vocabulary is what the corpus uses neither rarely nor everywhere, judged over all documents and
+   over those of each language.
+3. A latent Dirichlet topic model is fitted by expectation maximisation: each pass infers the topics of
+   every document where it lies, sums the expected counts over the cluster and sets the topics anew.
+   Every pass covers every document once, at any size. No label takes part.
+4. Each topic's top terms are inspected: how often labelled documents of each subject use them. If one
+   subject holds most of that, the topic is its own; other topics are background.
+5. A document is about a subject if the subject's topics hold a large enough share of its words and
    enough words in number: a passing mention stays below.
 
 The vocabulary has at most (mean words of a document / LEAST_SHARE) entries whatever the size of the
-corpus, so it, the topics and the affinities are small tables; documents and counts stay on the
-cluster.
+corpus, so it, the topics and the labelled uses of words are small tables; documents and counts stay on
+the cluster.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helmsway.session import checkpointed
 
-#: Words of at least four letters; a capital may lead a word or make up all of it.
-WORD = r"\p{Lu}?\p{Ll}{4,}|\p{Lu}\p{Ll}{3}|\p{Lu}{4,}"
+#: Scripts written without room between words, and all that have no capitals. The first code point of the former.
+UNSPACED, FIRST_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}", 0x0E00
+UNCASED = rf"[\p{{L}}\p{{M}}&&[^\p{{Lu}}\p{{Ll}}\p{{Lt}}{UNSPACED}]]"
+#: A word has two letters or more; a capital may lead it or make up all of it. Embedded data is skipped.
+WORD = (
+    rf"[A-Za-z0-9+/]{{48,}}|([a-z]{{2,}}(?![\p{{Ll}}\p{{M}}])|\p{{Lu}}?[\p{{Ll}}\p{{M}}]{{2,}}|\p{{Lu}}{{2,}}|{UNCASED}{{2,}}|[{UNSPACED}\p{{M}}]{{2,}})"
+)
 #: Shares of documents between which a word belongs to the vocabulary.
 LEAST_SHARE, MOST_SHARE, LEAST_DOCS = 0.0015, 0.15, 5
-#: A word in so many labelled documents whose share in its strongest subject stays below is spread evenly.
-SEEN, EVEN = 8, 0.35
+#: Documents without the word that each language is taken to have besides its own.
+SPARE = 20
 #: Labelled rows used at most (those with the smallest hash of their document).
 MOST_LABELS = 50_000
-TOPICS, ALPHA, ETA = 40, 0.02, 0.02
-#: Mini-batches, each of so many documents at least; together they are as many as the corpus or more.
-BATCHES, LEAST_BATCH = 40, 1_000
-TOP_TERMS, AGREED = 20, 0.45
-#: Documents of each subject that are taken to use every word.
-SMOOTH = 0.05
-#: Passes that put the subjects' topics right, and how often a labelled document counts in them.
-PASSES, LABEL_WEIGHT = 3, 5.0
+TOPICS, ALPHA, ETA = 150, 0.02, 0.02
+#: Passes over all documents, rounds for a document's own topics in a pass and when it is decided.
+PASSES, ROUNDS, LAST_ROUNDS = 10, 4, 12
+#: Top terms of a topic, and the share of their labelled uses that one subject must hold.
+TOP_TERMS, AGREED = 20, 0.5
 #: What makes a subject: share of the document's words and number of words.
-SHARE, WORDS = 0.1, 2.5
+SHARE, WORDS = 0.06, 2.5
+#: Documents inferred at once, so that their numbers stay in the processor's cache; words of a slice of counts;
+#: groups in which the parts' counts are first summed.
+AT_ONCE, SLICE, FAN = 256, 512, 32
 
 
 def words_of(text: Column) -> Column:
     """The distinct lower-case words of a text; of a notebook in JSON, those of its cells as written."""
     cells = F.from_json(text, "cells array<struct<source string, text string>>")["cells"]
     written = F.concat_ws(" ", F.transform(cells, lambda c: F.concat_ws(" ", c["source"], c["text"])))
-    plain = F.when(F.ltrim(text).startswith("{"), F.nullif(written, F.lit("")))
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(plain, text), F.lit(WORD), F.lit(0)), F.lower))
+    plain = F.coalesce(F.when(F.ltrim(text).startswith("{"), F.nullif(written, F.lit(""))), text)
+    found = F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(WORD), F.lit(1)), F.lower))
+    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, 2))
+    unspaced = lambda w: (F.ascii(w) >= FIRST_UNSPACED) & w.rlike(f"^[{UNSPACED}]")
+    return F.array_remove(F.array_distinct(F.flatten(F.transform(found, lambda w: F.when(unspaced(w), pairs(w)).otherwise(F.array(w))))), "")
 
 
 def clean_labels(labels: DataFrame, areas: DataFrame) -> DataFrame:
@@ -66,145 +73,149 @@ def clean_labels(labels: DataFrame, areas: DataFrame) -> DataFrame:
     return known.orderBy(F.xxhash64("doc_id"), "doc_id", "subject").limit(MOST_LABELS)
 
 
-def vocabulary(bags: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, list[str], np.ndarray, np.ndarray]:
-    """Words and their numbers of documents, subjects, each word's affinity to each subject (rows sum to 1), and the
-    labelled documents of each subject that use it (those of several subjects count by parts).
+def vocabulary(bags: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Words, in order, and their numbers of documents; ``bags`` has ``words`` and ``language``."""
+    sizes = bags.groupBy("language").agg(F.count(F.lit(1)).alias("of"))
+    count = sizes.agg(F.sum("of")).first()[0] or 0
+    used = bags.select("language", F.explode("words").alias("word")).groupBy("word", "language").agg(F.count(F.lit(1)).alias("n"))
+    seen = used.join(sizes, "language").groupBy("word").agg(F.sum("n").alias("docs"), F.max(F.col("n") / (F.col("of") + SPARE)).alias("most"))
+    docs = F.col("docs")
+    usual = seen.where((docs >= max(LEAST_SHARE * count, LEAST_DOCS)) & (docs <= MOST_SHARE * count) & (F.col("most") <= MOST_SHARE))
+    rows = usual.select("word", "docs").toPandas().sort_values("word")
+    return rows["word"].tolist(), rows["docs"].to_numpy(float)
 
-    A word's affinity is how often documents of the subject use it, compared over subjects; a small
-    part of a document that uses every word is added to each subject.
-    """
-    count = bags.count()
-    usual = (
-        bags.select(F.explode("words").alias("word"))
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("docs"))
-        .where((F.col("docs") >= LEAST_SHARE * count) & (F.col("docs") <= MOST_SHARE * count) & (F.col("docs") >= LEAST_DOCS))
-    )
-    sizes = labels.groupBy("subject").agg(F.count(F.lit(1)).alias("of"))
-    several = labels.join(labels.groupBy("doc_id").agg((1.0 / F.count(F.lit(1))).alias("part")), "doc_id")
-    used = several.join(bags, "doc_id").select("subject", "part", F.explode("words").alias("word"))
-    used = used.groupBy("word", "subject").agg(F.count(F.lit(1)).alias("n"), F.sum("part").alias("part"))
-    seen = usual.select("word").join(used, "word").toPandas()
-    subjects = sorted(r["subject"] for r in sizes.collect())
-    of = {r["subject"]: r["of"] for r in sizes.collect()}
-    docs_of = {r["word"]: r["docs"] for r in usual.collect()}
-    words = sorted(docs_of)
-    place, column = {w: i for i, w in enumerate(words)}, {s: i for i, s in enumerate(subjects)}
-    n, parts = np.zeros((2, len(words), len(subjects)))
-    parts[seen["word"].map(place).to_numpy(int), seen["subject"].map(column).to_numpy(int)] = seen["part"].to_numpy(float)
-    n[seen["word"].map(place).to_numpy(int), seen["subject"].map(column).to_numpy(int)] = seen["n"].to_numpy(float)
-    rate = (n + SMOOTH) / (np.array([of[s] for s in subjects]) + 2 * SMOOTH) if subjects else n
-    affinity = rate / rate.sum(axis=1, keepdims=True) if subjects else rate
-    even = (n.sum(axis=1) >= SEEN) & (affinity.max(axis=1, initial=0) < EVEN)
-    kept = [w for w, e in zip(words, even) if not e]
-    return kept, np.array([docs_of[w] for w in kept], float), subjects, affinity[~even], parts[~even]
-
-
-def subject_topics(topics: np.ndarray, affinity: np.ndarray) -> np.ndarray:
+
+def labelled_uses(coded: DataFrame, labels: DataFrame, words: int) -> tuple[list[str], np.ndarray]:
+    """Subjects, and the share of each one's labelled documents (columns) that use each word (rows)."""
+    found = labels.join(coded, "doc_id").select("subject", F.explode("ids").alias("word")).groupBy("word", "subject").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    of = {r["subject"]: r["n"] for r in labels.groupBy("subject").agg(F.count(F.lit(1)).alias("n")).collect()}
+    subjects = sorted(of)
+    uses = np.zeros((words, len(subjects)))
+    uses[found["word"].to_numpy(int), found["subject"].map({s: i for i, s in enumerate(subjects)}).to_numpy(int)] = found["n"].to_numpy(float)
+    return subjects, uses / np.array([of[s] for s in subjects], float)
+
+
+def subject_topics(topics: np.ndarray, uses: np.ndarray) -> np.ndarray:
     """The subject's column of each topic (rows of ``topics``), or -1 for background, by its top terms."""
     owner = np.full(len(topics), -1)
     for t, row in enumerate(topics):
         top = np.argsort(-row, kind="stable")[:TOP_TERMS]
-        score = row[top] @ affinity[top] / row[top].sum()
-        if score.max(initial=0) >= AGREED:
+        score = row[top] @ uses[top]
+        if score.sum() > 0 and score.max() >= AGREED * score.sum():
             owner[t] = score.argmax()
     return owner
 
 
-def _held(bags: list[np.ndarray], topics: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Topic shares of each word of each document, and their sums per document, by collapsed variational updates."""
+def infer(bags: list[np.ndarray], chance: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words per topic of each document; the words of all, and each one's topic shares.
+
+    ``chance`` has a row for each word: its probability in each topic (float32, above 0).
+    """
     sizes = np.array([len(b) for b in bags], np.int64)
-    doc = np.repeat(np.arange(len(bags)), sizes)
-    out = np.zeros((len(bags), topics.shape[0]), np.float32)
-    if not doc.size:
-        return np.zeros((0, topics.shape[0]), np.float32), out
-    chance = topics.T[np.concatenate(bags)]
-    held = chance / chance.sum(axis=1, keepdims=True)
+    out = np.zeros((len(bags), chance.shape[1]), np.float32)
     full = np.flatnonzero(sizes)
-    starts = (np.cumsum(sizes) - sizes)[full]
+    if not full.size:
+        return out, np.empty(0, np.int64), np.empty((0, chance.shape[1]), np.float32)
+    words = np.concatenate(bags)
+    doc, starts = np.repeat(np.arange(full.size), sizes[full]), (np.cumsum(sizes) - sizes)[full]
+    likely = chance[words]
+    share = np.ones((full.size, chance.shape[1]), np.float32)
     for _ in range(rounds):
-        out[full] = np.add.reduceat(held, starts, axis=0)
-        held = chance * (out[doc] - held + np.float32(ALPHA))
-        held /= held.sum(axis=1, keepdims=True)
-    out[full] = np.add.reduceat(held, starts, axis=0)
-    return held, out
-
-
-def fit_topics(bags: DataFrame, words: list[str], seed: int) -> np.ndarray:
-    """Distributions over ``words``, one row per topic, fitted to all documents."""
-    counter = CountVectorizerModel.from_vocabulary(words, "words", "features")
-    terms = checkpointed(counter.setBinary(True).transform(bags).select("doc_id", "features"))
-    part = min(1.0, max(1.0 / BATCHES, LEAST_BATCH / max(1, terms.count())))
-    model = LDA(
-        k=TOPICS, maxIter=BATCHES, subsamplingRate=part, optimizer="online", seed=seed, learningOffset=16.0,
-        docConcentration=[ALPHA] * TOPICS, topicConcentration=ETA, optimizeDocConcentration=False,
-    ).fit(terms)
-    topics = model.topicsMatrix().toArray().T
-    return topics / topics.sum(axis=1, keepdims=True)
+        weight = 1 / np.einsum("ij,ij->i", likely, share[doc])
+        held = share * np.add.reduceat(likely * weight[:, None], starts, axis=0)
+        last, share = share, held + np.float32(ALPHA)
+    out[full] = held
+    return out, words, likely * last[doc] * weight[:, None]
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    """(slice, data): the sum of all partial counts of each slice, first of every FAN-th part, then of these."""
 
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = sum(np.frombuffer(zlib.decompress(x), np.float32) for x in pdf["data"])
+        return pdf.iloc[:1].assign(data=[zlib.compress(whole.tobytes(), 1)])
 
-def _bags(column: pd.Series, place: dict[str, int]) -> list[np.ndarray]:
-    return [np.array([i for w in b if (i := place.get(w)) is not None], np.int64) for b in column]
+    some = parts.withColumn("part", F.pmod("part", F.lit(FAN))).groupBy("slice", "part").applyInPandas(add, "slice int, part int, data binary")
+    return some.groupBy("slice").applyInPandas(add, "slice int, part int, data binary")
 
 
-def refine(bags: DataFrame, place: dict[str, int], topics: np.ndarray, owner: np.ndarray, docs: np.ndarray, labelled: np.ndarray) -> np.ndarray:
-    """One topic per subject (columns of ``labelled``) and a last one for background, fitted in PASSES over all documents."""
-    count = labelled.shape[1]
-    found = np.array([topics[owner == s].sum(axis=0) for s in range(count)]) + 1e-6
-    known = labelled.T + 0.01
-    chance = found / found.sum(axis=1, keepdims=True) + known / known.sum(axis=1, keepdims=True)
-    chance = np.vstack([chance / 2, docs / docs.sum()])
+def fit_topics(coded: DataFrame, docs: np.ndarray, seed: int) -> np.ndarray:
+    """Distributions over the vocabulary, one row per topic, fitted in PASSES over all documents.
+
+    ``coded`` has ``ids``, the vocabulary words of each document; ``docs`` how many documents use each word.
+    """
+    sc, size = coded.sparkSession.sparkContext, len(docs)
+    topics = np.random.default_rng(seed).gamma(1.0, 1.0, (TOPICS, size)) * docs
     for _ in range(PASSES):
-        shared = bags.sparkSession.sparkContext.broadcast((chance.astype(np.float32) + np.float32(1e-12), place))
+        topics /= topics.sum(axis=1, keepdims=True)
+        shared = sc.broadcast(np.ascontiguousarray(topics.T, np.float32) + np.float32(1e-12))
 
         def gather(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            topics, place = shared.value
-            total = np.zeros(topics.shape)
+            chance, part = shared.value, 0
+            total = np.zeros(chance.shape, np.float64)
             for pdf in frames:
-                for at in range(0, len(pdf), 2048):
-                    part = _bags(pdf["words"].iloc[at : at + 2048], place)
-                    words = np.concatenate([*part, np.empty(0, np.int64)])
-                    held = _held(part, topics)[0]
-                    for t in range(len(topics)):
-                        total[t] += np.bincount(words, held[:, t], topics.shape[1])
-            topic, word = np.nonzero(total)
-            yield pd.DataFrame({"topic": topic, "word": word, "n": total[topic, word]})
-
-        counted = bags.mapInPandas(gather, "topic int, word int, n double").groupBy("topic", "word").agg(F.sum("n").alias("n")).toPandas()
-        chance = np.full(chance.shape, ETA)
-        chance[counted["topic"], counted["word"]] += counted["n"]
-        chance[:count] += LABEL_WEIGHT * labelled.T
-        chance /= chance.sum(axis=1, keepdims=True)
-    return chance
+                part = int(pdf["part"].iloc[0]) if len(pdf) else part
+                for at in range(0, len(pdf), AT_ONCE):
+                    _, words, held = infer(pdf["ids"].iloc[at : at + AT_ONCE].tolist(), chance, ROUNDS)
+                    order = np.argsort(words, kind="stable")
+                    words = words[order]
+                    first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]][: words.size])
+                    if first.size:
+                        total[words[first]] += np.add.reduceat(held[order], first, axis=0)
+            cut = range(0, size, SLICE)
+            yield pd.DataFrame({"slice": range(len(cut)), "part": part, "data": [zlib.compress(total[a : a + SLICE].astype(np.float32).tobytes(), 1) for a in cut]})
+
+        parts = coded.select("ids", F.spark_partition_id().alias("part")).mapInPandas(gather, "slice int, part int, data binary")
+        rows = sorted(_summed(parts).select("slice", "data").collect())
+        counts = np.concatenate([np.frombuffer(zlib.decompress(r["data"]), np.float32) for r in rows])
+        topics = counts.reshape(size, TOPICS).T.astype(float) + ETA
+        shared.unpersist()
+    return topics / topics.sum(axis=1, keepdims=True)
+
+
+def encoded(bags: DataFrame, words: list[str]) -> DataFrame:
+    """(doc_id, ids): the places in ``words`` of each document's words."""
+    shared = bags.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = shared.value
+        for pdf in frames:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [[i for w in b if (i := place.get(w)) is not None] for b in pdf["words"]]})
+
+    return bags.select("doc_id", "words").mapInPandas(run, f"doc_id {dict(bags.dtypes)['doc_id']}, ids array<int>")
 
 
 def subjects_of(docs: DataFrame, areas: DataFrame, labels: DataFrame, seed: int = 1) -> DataFrame:
     """(doc_id, subject) for each subject area that a document is about; often one, at times two or none.
 
-    Null, empty and blank texts have none. Repeated rows of a document count once. Without labels or
-    without any usual word the result is empty.
+    Null, empty and blank texts have none. Repeated rows of a document count once. The language is the
+    first two letters of ``lang``, if there is such a column; null or wrong ones only make its groups
+    less pure. Without labels or without any usual word the result is empty.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    empty = docs.sparkSession.createDataFrame([], f"doc_id {kind}, subject string")
-    read = docs.where(F.col("text").isNotNull()).select("doc_id", words_of(F.col("text")).alias("words"))
+    language = F.coalesce(F.lower(F.left(F.ltrim("lang"), F.lit(2))), F.lit("")) if "lang" in docs.columns else F.lit("")
+    read = docs.where(F.col("text").isNotNull()).select("doc_id", language.alias("language"), words_of(F.col("text")).alias("words"))
     bags = checkpointed(read)
-    words, uses, subjects, affinity, labelled = vocabulary(bags, clean_labels(labels, areas))
-    if not words or not subjects:
-        return empty
-    place = {w: i for i, w in enumerate(words)}
-    topics = fit_topics(bags, words, seed)
-    topics = refine(bags, place, topics, subject_topics(topics, affinity), uses, labelled)
-    shared = docs.sparkSession.sparkContext.broadcast((topics.astype(np.float32) + np.float32(1e-12), place))
+    words, uses = vocabulary(bags)
+    names = clean_labels(labels, areas)
+    if not words or names.isEmpty():
+        return docs.sparkSession.createDataFrame([], f"doc_id {kind}, subject string")
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    coded = checkpointed(encoded(bags, words).repartition(spread, "doc_id"))  # so that long files make no long tasks
+    topics = fit_topics(coded, uses, seed)
+    subjects, labelled = labelled_uses(coded, names, len(words))
+    owner = subject_topics(topics, labelled)
+    belongs = (owner[:, None] == np.arange(len(subjects))[None, :]).astype(np.float32)
+    shared = docs.sparkSession.sparkContext.broadcast((np.ascontiguousarray(topics.T, np.float32) + np.float32(1e-12), belongs))
 
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        topics, place = shared.value
+        chance, belongs = shared.value
         for pdf in frames:
-            for at in range(0, len(pdf), 2048):
-                part = pdf.iloc[at : at + 2048]
-                bags = _bags(part["words"], place)
-                held = _held(bags, topics)[1][:, :-1]
-                size = np.maximum([len(b) for b in bags], 1)[:, None]
+            for at in range(0, len(pdf), AT_ONCE):
+                part = pdf.iloc[at : at + AT_ONCE]
+                held = infer(part["ids"].tolist(), chance, LAST_ROUNDS)[0] @ belongs
+                size = np.maximum(part["ids"].map(len).to_numpy(), 1)[:, None]
                 row, subject = np.nonzero((held >= WORDS) & (held / size >= SHARE))
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[row], "subject": np.array(subjects, object)[subject]})
 
-    return bags.mapInPandas(decide, f"doc_id {kind}, subject string").distinct()
+    return coded.mapInPandas(decide, f"doc_id {kind}, subject string").distinct()
