@@ -25,10 +25,11 @@ def nearest_intervals(right: DataFrame, keys: list[str], time: str, value: str,
 
     An instant halfway between two times belongs to the earlier. Of records with the same time the
     one with the smallest value counts. Records without a time take no part. Neighbours are sought
-    within chunks of time; records within twice the tolerance of a chunk's edge stand in both
-    chunks, as a neighbour farther off than that moves no bound.
+    within chunks of time, which are no shorter than twice the tolerance; records so near a chunk's
+    edge stand in both chunks, as a neighbour farther off than that moves no bound.
     """
     reach = 2 * tolerance_ns
+    chunk_ns = max(chunk_ns, reach)
     t = F.col("at")
     chunks = F.array_distinct(F.array(_bucket(t, chunk_ns), _bucket(t - reach, chunk_ns), _bucket(t + reach, chunk_ns)))
     inside = Window.partitionBy(*keys, "_chunk").orderBy("at")

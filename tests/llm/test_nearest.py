@@ -36,6 +36,19 @@ def test_intervals_do_not_depend_on_chunks(spark):
     assert same(nearest.nearest_intervals(df, ["k"], "t", "s", 30, chunk_ns=100).toPandas(), one) == ""
 
 
+def test_wide_tolerances_match_once(spark):
+    l = spark.createDataFrame([("a", 1, 110 * nearest.NS)], "k string, i int, t bigint")
+    rr = spark.createDataFrame([("a", 70, 70 * nearest.NS), ("a", 130, 130 * nearest.NS)], "k string, s int, t bigint")
+    assert [(x["i"], x["m"]) for x in nearest.match_nearest(l, rr, ["k"], "t", "t", "s", 50 * nearest.NS, "m").collect()] == [(1, 130)]
+    r = random.Random(8)
+    left = [("a", i, r.randrange(900) * nearest.NS) for i in range(60)]
+    right = [("a", i, r.randrange(900) * nearest.NS) for i in range(25)]
+    l, rr = spark.createDataFrame(left, "drive string, i bigint, t bigint"), spark.createDataFrame(right, "drive string, s bigint, t bigint")
+    for tol in (29, 31, 45, 200):
+        got = nearest.match_nearest(l, rr, ["drive"], "t", "t", "s", tol * nearest.NS, "m")
+        assert sorted(((x["drive"], x["i"], x["m"]) for x in got.collect()), key=repr) == brute(left, right, tol * nearest.NS)
+
+
 def test_tie_goes_to_the_earlier_and_the_bound_counts(spark):
     l = spark.createDataFrame([("a", 1, 100), ("a", 2, 130), ("a", 3, 131)], "k string, i int, t bigint")
     r = spark.createDataFrame([("a", 9, 90), ("a", 8, 110)], "k string, s int, t bigint")
