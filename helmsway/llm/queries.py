@@ -17,6 +17,8 @@ METRICS = {
 }
 #: Rows of a (day, edge) that one task takes; larger ones are salted.
 PART_ROWS = 2_000_000
+#: Level of the sketches whose nodes are sixteenths of a power of two.
+SIXTEENTHS = quantiles.MANTISSA - 4
 DAY_EDGE = ["run_day", "edge"]
 ROW_KEY = ["run_id", "epoch", "edge", "seq"]
 
@@ -35,7 +37,7 @@ def _sketches(spark: SparkSession, d: str) -> DataFrame:
     parts = F.ceil(F.col("_n") / PART_ROWS).cast("bigint")
     salted = rows.join(sizes, DAY_EDGE).withColumn("_salt", F.pmod(F.xxhash64("run_id", "epoch", "seq"), parts)).drop("_n")
     brought = salted.repartition(*DAY_EDGE, "_salt").dropDuplicates([*DAY_EDGE, "_salt", "run_id", "epoch", "seq"])
-    return quantiles.merge(quantiles.sketches(brought, DAY_EDGE, list(METRICS)), DAY_EDGE)
+    return quantiles.merge(quantiles.sketches(brought.sortWithinPartitions(*DAY_EDGE, "_salt"), DAY_EDGE, list(METRICS)), DAY_EDGE)
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -43,6 +45,12 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.invert(_sketches(spark, d), DAY_EDGE)
 
 
+def p3_combined(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per edge over all days, from the sketches of the days: certain bounds in 16 steps per power of two."""
+    days = _sketches(spark, d)
+    return quantiles.invert(quantiles.merge(days, ["edge"]), ["edge"], coarsest=SIXTEENTHS).select("edge", "metric", "percent", "n", "rank", "low", "high")
+
+
 def _published(spark: SparkSession, d: str) -> DataFrame:
     """(run_day, edge, metric, percent, published) of every figure that was published."""
     figures = [
@@ -56,31 +64,33 @@ def _floor_div(value: Column, by: int) -> Column:
     return F.call_function("div", value - F.pmod(value, b), b)
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Published metrics with a percentile that is off by more than 10 % of the true one.
-
-    The sketches give each percentile's certain bounds. True values that agree with a published
-    figure form a range (10 x |published - x| <= |x|); where that range holds all of the bounds or
-    none of them the case is decided. The rest is decided exactly: rows between the bounds are
-    counted against the ends of the range, which needs no sort and no second look at other rows.
-    """
+def _verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Published figures with ``verdict``: off, fits, or open where the sketch's bounds don't tell."""
     ten = F.col("published") * 10
     ends = [_floor_div(ten, 9), _floor_div(ten, 11), -_floor_div(-ten, 9), -_floor_div(-ten, 11)]
     fits_from = F.when(F.col("published") >= 0, ends[3]).otherwise(ends[2])
     fits_to = F.when(F.col("published") >= 0, ends[0]).otherwise(ends[1])
-    judged = (
+    off = (F.col("low") > F.col("fits_to")) | (F.col("high") < F.col("fits_from"))
+    fits = (F.col("low") >= F.col("fits_from")) & (F.col("high") <= F.col("fits_to"))
+    return (
         p3_percentiles(spark, d)
         .join(_published(spark, d), [*DAY_EDGE, "metric", "percent"])
         .withColumn("fits_from", fits_from)
         .withColumn("fits_to", fits_to)
-        .withColumn(
-            "verdict",
-            F.when((F.col("low") > F.col("fits_to")) | (F.col("high") < F.col("fits_from")), "off")
-            .when((F.col("low") >= F.col("fits_from")) & (F.col("high") <= F.col("fits_to")), "fits")
-            .otherwise("open"),
-        )
+        .withColumn("verdict", F.when(off, "off").when(fits, "fits").otherwise("open"))
     )
-    judged = checkpointed(judged)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Published metrics with a percentile that is off by more than 10 % of the true one.
+
+    The sketches' signed levels give each percentile's certain bounds, about a hundredth of it apart.
+    True values that agree with a published figure form a range (10 x |published - x| <= |x|); where
+    that range holds all of the bounds or none of them the case is decided. Only a figure that is off
+    by 10 % to within that hundredth is left, and decided exactly: rows between its bounds are counted
+    against the ends of the range, which needs no sort.
+    """
+    judged = checkpointed(_verdicts(spark, d))
     open_ = judged.where(F.col("verdict") == "open").select(*DAY_EDGE, "metric", "percent", "rank", "below", "low", "high", "fits_from", "fits_to")
     values = _measured(spark, d)
     unpivoted = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS]))
@@ -143,6 +153,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_percentiles": p3_percentiles,
+    "p3_combined": p3_combined,
     "p4_found": p4_found,
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
@@ -170,6 +181,21 @@ WITH rows AS (
 )
 SELECT DISTINCT run_day, edge, metric FROM published JOIN truth USING (run_day, edge, metric)
 WHERE 10 * abs(q50 - p50) > abs(p50) OR 10 * abs(q95 - p95) > abs(p95) OR 10 * abs(q99 - p99) > abs(p99)
+""",
+    "p3_combined": """
+WITH rows AS (
+  SELECT e.run_id, e.epoch, e.edge, e.seq, r.run_day, min(e.queue_wait_ns) // 1000 AS queue_wait_us,
+    min(e.measurement_age_ns) // 1000 AS measurement_age_us, min(e.push_blocked_ns) AS push_blocked_ns_p99
+  FROM evidence e JOIN (SELECT DISTINCT run_id, epoch, run_day FROM runs) r USING (run_id, epoch) GROUP BY ALL
+), long AS (
+  UNPIVOT rows ON queue_wait_us, measurement_age_us, push_blocked_ns_p99 INTO NAME metric VALUE v
+), ranked AS (
+  SELECT edge, metric, v, row_number() OVER (PARTITION BY edge, metric ORDER BY v) AS i, count(*) OVER (PARTITION BY edge, metric) AS n FROM long
+), picked AS (
+  SELECT edge, metric, percent::INT AS percent, n, (percent * n + 99) // 100 AS rank, v, abs(v) AS a, greatest(length(bin(abs(v))) - 5, 0) AS d
+  FROM ranked, (VALUES (50), (95), (99)) AS p(percent) WHERE i = (percent * n + 99) // 100
+), ends AS (SELECT *, (a >> d) << d AS low, ((a >> d) << d) + (1::BIGINT << d) - 1 AS high FROM picked)
+SELECT edge, metric, percent, n, rank, CASE WHEN v < 0 THEN -high ELSE low END AS low, CASE WHEN v < 0 THEN -low ELSE high END AS high FROM ends
 """,
     "p4_found": """
 WITH s AS (SELECT DISTINCT drive, seq AS sweep_seq, trigger_ns FROM sweeps WHERE trigger_ns IS NOT NULL),
