@@ -1,11 +1,14 @@
 """Filling containers of fixed capacity with items, with the sources mixed in target proportions.
 
 Every source is a queue of items in a fixed pseudo-random order. Deficit round-robin serves the
-queues window by window: in each round a queue's credit grows by its share of the window, it sends
-items as long as its credit covers them, and what is left over is carried on. An item is therefore
-sent in the first round in which the queue's whole credit covers all it has sent up to and with that
-item: ceil(tokens so far / credit per round). That is a prefix sum per queue, taken in chunks, so the
-deficits are carried over windows and partitions alike without a walk through the queue.
+queues: in each turn a queue's credit grows by its share, it sends items as long as its credit covers
+them, and what is left over is carried on. An item is therefore sent in the first turn in which the
+queue's whole credit covers all it has sent up to and with that item: at (tokens so far / share), a
+prefix sum per queue, taken in chunks. A queue that has ended passes its turns to those that last, so
+by turn v all queues together have sent the sum of min(tokens of the queue, share x v): again a prefix
+sum, over the turns at which queues end. A window is filled when so many tokens have been sent; the
+deficits are carried over windows and partitions alike, without a walk through the queues, and only
+the last window is short.
 
 The items of a window are then laid into containers, largest first, each into the fullest container
 that still has room. Only an item above the capacity is split: into full containers and a rest.
@@ -17,7 +20,7 @@ import bisect
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helmsway.operators.scan import running
@@ -48,40 +51,58 @@ def _fill(sizes: np.ndarray, capacity: int) -> tuple[list[int], list[int]]:
     return at, offset
 
 
-def pack(items: DataFrame, item: str, source: str, size: str, capacity: int = CAPACITY, window: int = WINDOW, proportions: dict[str, float] | None = None) -> DataFrame:
+def _turns(value: Column) -> Column:
+    return F.when(value.isNotNull(), F.least(value, F.lit(2.0**60))).cast("bigint")
+
+
+def _shares(rows: DataFrame, proportions: dict[str, float] | None, power: float) -> DataFrame:
+    """(``_of, _all, _late, _share, _ends``) of each source: its tokens, whether it is served after all others, its share, its last turn."""
+    own = rows.groupBy(F.col("_source").alias("_of")).agg(F.sum("_size").cast("double").alias("_all")).withColumn("_weight", F.pow("_all", F.lit(power)))
+    wanted = F.lit(None).cast("double")
+    for name, share in (proportions or {}).items():
+        wanted = F.when(F.col("_of").eqNullSafe(F.lit(name)), F.lit(float(share))).otherwise(wanted)
+    own = own.withColumn("_wanted", wanted)
+    given = max(sum((proportions or {}).values()), 0.0)
+    others = F.sum(F.when(F.col("_wanted").isNull(), F.col("_weight"))).over(Window.partitionBy())  # one row a source
+    rest = F.lit(max(0.0, 1.0 - given)) * F.try_divide(F.col("_weight"), others)
+    part = F.coalesce("_wanted", rest, F.lit(0.0))
+    both = own.withColumn("_part", part).withColumn("_late", F.col("_part") <= 0)
+    by = Window.partitionBy("_late")
+    share = F.when(F.col("_late"), F.try_divide(F.col("_all"), F.sum("_all").over(by))).otherwise(F.try_divide(F.col("_part"), F.sum("_part").over(by)))
+    return both.select("_of", "_all", "_late", share.alias("_share"), _turns(F.try_divide(F.col("_all"), share)).alias("_ends"))
+
+
+def pack(
+    items: DataFrame, item: str, source: str, size: str, capacity: int = CAPACITY, window: int = WINDOW, proportions: dict[str, float] | None = None, power: float = 1.0
+) -> DataFrame:
     """(item, source, ``piece, piece_size, window_no, container_id, place``): where each item lies.
 
     ``piece`` counts the parts of an item from 0, ``place`` is where it begins in its container.
-    Without ``proportions`` the target is each source's own share of all tokens, so that all queues
-    end together; given proportions (by source; others share what is left by size) rule as long as
-    their queues last. Sources that this leaves without a share come after the last window of the
+    ``proportions`` are targets by source; sources without one share what is left by size, or by size
+    to the ``power`` (below 1 small sources come more often than their size alone would have them). A source's
+    share goes to the others when it has ended. Sources for which nothing is left come after the last window of the
     others, by their own sizes. Items of size 0 or null lie in the first container of the window they fall
     into and take no room. A null source is a source of its own. Rows are items: repeated rows are
     packed as often as they occur. Empty input gives an empty result.
     """
     rows = checkpointed(items.select(F.col(item).alias("_item"), F.col(source).alias("_source"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_size")))
-    whole = rows.agg(F.sum("_size").alias("tokens"), F.count(F.lit(1)).alias("items")).first()
-    tokens, count = int(whole["tokens"] or 0), int(whole["items"])
+    count = rows.count()
     span = 2**63 // max(LEAST_CHUNKS, -(-count // CHUNK_ITEMS))
-    given = sum((proportions or {}).values())
-    shares = rows.groupBy("_source").agg(F.sum("_size").alias("_tokens")).withColumn("_wanted", F.lit(None).cast("double"))
-    for name, share in (proportions or {}).items():
-        shares = shares.withColumn("_wanted", F.when(F.col("_source").eqNullSafe(F.lit(name)), F.lit(float(share) / max(given, 1.0))).otherwise(F.col("_wanted")))
-    if proportions:
-        others = shares.agg(F.sum(F.when(F.col("_wanted").isNull(), F.col("_tokens")))).first()[0] or 0
-        unserved = F.coalesce("_wanted", F.lit(max(0.0, 1.0 - given))) <= 0
-        rest = max(0.0, 1.0 - given) * F.col("_tokens") / max(others, 1)
-        late = shares.agg(F.sum(F.when(unserved, F.col("_tokens")))).first()[0] or 0
-        own = F.col("_tokens") / max(late, 1)
-        shares = shares.withColumn("_late", unserved).withColumn("_share", F.when(unserved, own).otherwise(F.coalesce("_wanted", rest)))
-    else:
-        shares = shares.withColumn("_late", F.lit(False)).withColumn("_share", F.col("_tokens") / F.lit(float(max(tokens, 1))))
-    shares = shares.select(F.col("_source").alias("_of"), "_late", (F.col("_share") * float(window * capacity)).alias("_credit"))
-
+    room = float(window * capacity)
+    shares = _shares(rows, proportions, power)
     queued = rows.withColumn("_order", F.shiftrightunsigned(F.xxhash64("_item", "_source"), 1))
     sent = running(queued, ["_source"], "_order", "_size", "_sent", span)
-    round_no = F.when(F.col("_credit") > 0, F.ceil(F.col("_sent") / F.col("_credit") - 1e-9)).otherwise(1)
-    served = sent.join(shares, F.col("_source").eqNullSafe(F.col("_of")), "left").withColumn("_window", F.greatest(round_no, F.lit(1)).cast("bigint") - 1)
+    turn = F.least(_turns(F.try_divide("_sent", "_share")), F.col("_ends"))
+    served = sent.join(shares, F.col("_source").eqNullSafe(F.col("_of")), "left").withColumn("_turn", F.coalesce(turn, F.lit(0).cast("bigint")))
+    served = served.select("_item", "_source", "_size", "_order", "_late", "_turn", F.lit(0.0).alias("_ended"), F.lit(0.0).alias("_passed"), F.lit(False).alias("_end"))
+    if proportions or power != 1.0:  # else all queues end in the same turn
+        ends = shares.where(F.col("_ends").isNotNull()).select("_late", F.col("_ends").alias("_turn"), F.col("_all").alias("_ended"), F.col("_share").alias("_passed"), F.lit(True).alias("_end"))
+        served = served.unionByName(ends, allowMissingColumns=True)
+        for value in ("_ended", "_passed"):
+            served = running(served, ["_late"], "_turn", value, value + "_by", int(room) * 16, strict=True).drop(value).withColumnRenamed(value + "_by", value)
+        served = served.where(~F.col("_end"))
+    passed = F.coalesce(F.col("_ended"), F.lit(0.0)) + F.col("_turn") * (1 - F.coalesce(F.col("_passed"), F.lit(0.0)))
+    served = served.withColumn("_window", F.greatest(F.ceil(passed / room - 1e-9).cast("bigint") - 1, F.lit(0)))
     if proportions:
         last = served.where(~F.col("_late")).agg(F.max("_window")).first()[0]
         served = served.withColumn("_window", F.col("_window") + F.when(F.col("_late"), F.lit(0 if last is None else last + 1)).otherwise(0))
@@ -143,3 +164,24 @@ def windows(packed: DataFrame, source: str = "source", capacity: int = CAPACITY)
     return per.join(errors, "window_no").select(
         "window_no", "containers", "tokens", (F.col("tokens") / (F.col("containers") * capacity)).alias("fill"), F.round("share_error", 6).alias("share_error")
     )
+
+
+def faults(packed: DataFrame, items: DataFrame, item: str, size: str, capacity: int = CAPACITY) -> DataFrame:
+    """One row: how many items there are, and how many break a rule of packing (all 0 if ``packed`` is right).
+
+    ``lost``: the pieces aren't exactly the item; ``split``: split without need; ``overfull`` and
+    ``overlapping``: containers above the capacity, or whose pieces lie on one another or leave room between.
+    Items are counted by their key.
+    """
+    pieces = packed.groupBy(item).agg(F.sum("piece_size").alias("_packed"), F.count(F.lit(1)).alias("_pieces"), F.max("piece").alias("_last"))
+    whole = items.groupBy(F.col(item).alias("_key")).agg(F.max(F.coalesce(F.col(size), F.lit(0))).alias("_size"))
+    both = whole.join(pieces, F.col("_key").eqNullSafe(F.col(item)), "full")
+    lost = ~((F.col("_packed") == F.col("_size")) & (F.col("_pieces") == F.col("_last") + 1))
+    split = (F.col("_pieces") > 1) & (F.col("_size") <= capacity)
+    by_item = both.agg(F.count("_size").alias("items"), F.count_if(F.coalesce(lost, F.lit(True))).alias("lost"), F.count_if(split).alias("split"))
+    before = Window.partitionBy("container_id").orderBy("place", "piece_size").rowsBetween(Window.unboundedPreceding, -1)
+    laid = packed.where(F.col("piece_size") > 0).withColumn("_before", F.coalesce(F.sum("piece_size").over(before), F.lit(0)))
+    containers = laid.groupBy("container_id").agg(F.sum("piece_size").alias("_held"), F.max((F.col("place") != F.col("_before")).cast("int")).alias("_off"))
+    by_container = containers.agg(F.count_if(F.col("_held") > capacity).alias("overfull"), F.count_if(F.col("_off") > 0).alias("overlapping"))
+    both = by_item.unionByName(by_container, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("items", "lost", "split", "overfull", "overlapping")])

@@ -134,10 +134,25 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(table(spark, d, "documents"), "doc_id", "text")
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return tokenizer.token_counts(table(spark, d, "documents"), ["doc_id", "source"], "text").distinct()
+
+
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     """The container of every document, or of every part of one longer than a container."""
-    sized = tokenizer.token_counts(table(spark, d, "documents"), ["doc_id", "source"], "text")
-    return packing.pack(sized.distinct(), "doc_id", "source", "n_tokens")
+    return packing.pack(_sized(spark, d), "doc_id", "source", "n_tokens")
+
+
+def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The same with small sources mixed in more often: by the square root of their size, as long as they last."""
+    return packing.pack(_sized(spark, d), "doc_id", "source", "n_tokens", power=0.5)
+
+
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents the mixed packing holds, and how many break a rule of it."""
+    sized = checkpointed(_sized(spark, d))
+    packed = packing.pack(sized, "doc_id", "source", "n_tokens", power=0.5)
+    return packing.faults(checkpointed(packed), sized, "doc_id", "n_tokens")
 
 
 def p7_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -158,6 +173,8 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
     "p7_windows": p7_windows,
+    "p7_mixed": p7_mixed,
+    "p7_check": p7_check,
     "p8_found": p8_found,
 }
 
@@ -208,5 +225,8 @@ r AS (
   FROM s JOIN r ON s.drive = r.drive AND r.tov_ns BETWEEN s.trigger_ns - tolerance AND s.trigger_ns + tolerance
 )
 SELECT DISTINCT drive, stream, sweep_seq, match_seq FROM pairs WHERE i = 1
+""",
+    "p7_check": """
+SELECT count(DISTINCT doc_id) AS items, 0::BIGINT AS lost, 0::BIGINT AS split, 0::BIGINT AS overfull, 0::BIGINT AS overlapping FROM documents
 """,
 }

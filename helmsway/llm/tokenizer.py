@@ -12,6 +12,7 @@ is fixed by the file (about 1 MB), so executors need no access to it.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import heapq
 import json
@@ -164,10 +165,14 @@ class Encoder:
         return [first[c[0]] + b"".join(map(later, c[1:])) for c in cut]
 
 
-def _worker(shared) -> Encoder:
-    """An encoder for this task. Its caches hold no reference cycles, so looking for some is left out."""
+@contextlib.contextmanager
+def _worker(shared) -> Iterator[Encoder]:
+    """An encoder for this task. Its caches hold no reference cycles, so looking for some is left out meanwhile."""
     gc.disable()
-    return Encoder(*shared.value)
+    try:
+        yield Encoder(*shared.value)
+    finally:
+        gc.enable()
 
 
 def _slices(batches: Iterator[pa.RecordBatch], text: int, most_rows: int = 2048, most_bytes: int = 1 << 24) -> Iterator[pa.RecordBatch]:
@@ -191,12 +196,12 @@ def encode(docs: DataFrame, doc_id: str, text: str, vocabulary: str = BYTE_BPE_5
     shared = docs.sparkSession.sparkContext.broadcast(read_merges(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _worker(shared)
-        for batch in _slices(batches, 1):
-            parts = encoder.encode(batch.column(1).to_pylist())
-            offsets = np.cumsum([0, *map(len, parts)], dtype=np.int64) // 4
-            values = pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)], ["id", "ids"])
+        with _worker(shared) as encoder:
+            for batch in _slices(batches, 1):
+                parts = encoder.encode(batch.column(1).to_pylist())
+                offsets = np.cumsum([0, *map(len, parts)], dtype=np.int64) // 4
+                values = pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)], ["id", "ids"])
 
     kind = dict(docs.dtypes)[doc_id]
     return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").select(F.col("id").alias(doc_id), "ids")
@@ -207,10 +212,10 @@ def token_counts(docs: DataFrame, keep: list[str], text: str, vocabulary: str =
     shared = docs.sparkSession.sparkContext.broadcast(read_merges(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _worker(shared)
-        for batch in _slices(batches, len(keep)):
-            n = [len(b) // 4 for b in encoder.encode(batch.column(len(keep)).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64())], [f"k{i}" for i in range(len(keep))] + ["n"])
+        with _worker(shared) as encoder:
+            for batch in _slices(batches, len(keep)):
+                n = [len(b) // 4 for b in encoder.encode(batch.column(len(keep)).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64())], [f"k{i}" for i in range(len(keep))] + ["n"])
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"k{i} {kinds[c]}" for i, c in enumerate(keep)] + ["n bigint"])

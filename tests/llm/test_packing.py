@@ -85,3 +85,41 @@ def test_a_source_left_out_of_the_proportions_comes_last_in_windows_of_its_own(s
     assert min(late) == max(others) + 1 and all(n <= 64 * 1024 + 10_000 for n in late.values())
     everything = packing.pack(spark.createDataFrame(rows, COLUMNS), "doc_id", "source", "n_tokens", capacity=256, window=8, proportions={"a": 1.0}).groupBy("window_no").sum("piece_size").collect()
     assert max(r[1] for r in everything) <= 8 * 256 + 2 * 10_000
+
+
+def tokens_by_window(packed, source=None):
+    out = {}
+    for p in packed:
+        if source is None or p["source"] == source:
+            out[p["window_no"]] = out.get(p["window_no"], 0) + p["piece_size"]
+    return out
+
+
+def test_windows_stay_full_when_a_queue_has_ended(spark):
+    rows = [(i, "a" if i % 2 else "b" if i % 4 else "c", 100) for i in range(4000)]
+    for proportions, power in (({"a": 0.8, "b": 0.15, "c": 0.05}, 1.0), ({"a": 0.9}, 1.0), (None, 0.3)):
+        packed = packing.pack(spark.createDataFrame(rows, COLUMNS), "doc_id", "source", "n_tokens", capacity=1000, window=20, proportions=proportions, power=power).collect()
+        check(rows, packed, 1000)
+        load = tokens_by_window(packed)
+        assert len(load) == 20 and all(abs(n - 20_000) <= 300 for w, n in load.items())
+    first = tokens_by_window(packing.pack(spark.createDataFrame(rows, COLUMNS), "doc_id", "source", "n_tokens", capacity=1000, window=20, proportions={"a": 0.8, "b": 0.15, "c": 0.05}).collect(), "b")
+    # a lasts for 200,000 / 0.8 tokens, then b and c share in the ratio of 3 to 1
+    assert all(abs(first[w] - 3000) <= 200 for w in range(12)) and all(abs(first[w] - 15_000) <= 200 for w in range(13, 16))
+
+
+def test_small_sources_come_more_often_by_a_power(spark):
+    rows = [(i, "a" if i % 10 else "b", 100) for i in range(10_000)]
+    packed = packing.pack(spark.createDataFrame(rows, COLUMNS), "doc_id", "source", "n_tokens", capacity=1000, window=20, power=0.5).collect()
+    assert all(abs(tokens_by_window(packed, "b")[w] - 5000) <= 200 for w in range(10))
+
+
+def test_faults_are_counted(spark):
+    rows = items(300, 4)
+    df = spark.createDataFrame(rows, COLUMNS)
+    packed = packing.pack(df, "doc_id", "source", "n_tokens", capacity=1024, window=16)
+    count = lambda p: packing.faults(p, df, "doc_id", "n_tokens", 1024).first()
+    assert tuple(count(packed)) == (300, 0, 0, 0, 0)
+    assert count(packed.where("doc_id <> 5"))["lost"] == 1
+    assert count(packed.withColumn("container_id", F.lit(1)))["overfull"] == 1
+    assert count(packed.withColumn("place", F.lit(0)))["overlapping"] > 0
+    assert tuple(packing.faults(packed.limit(0), df.limit(0), "doc_id", "n_tokens").first()) == (0, 0, 0, 0, 0)
