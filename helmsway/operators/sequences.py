@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helmsway.operators.scan import in_blocks, running
+from helmsway.operators.scan import NS, in_blocks, running
 
 
 def with_previous(df: DataFrame, keys: list[str], order: str, out: str, chunk: int) -> DataFrame:
@@ -84,16 +84,38 @@ def all_slots(df: DataFrame, keys: list[str], seq: str, due: str, periods: DataF
     return own.withColumn("present", F.lit(True)).unionByName(told).groupBy(*keys, seq).agg(F.max(due).alias(due), F.max("present").alias("present"))
 
 
-def held_worst(df: DataFrame, keys: list[str], order: str, severity: str, hold: int, chunk: int = 100_000) -> DataFrame:
-    """Adds ``held``, the worst severity of this row and the ``hold`` - 1 before it, and ``was``, the row before's.
+def held_worst(df: DataFrame, keys: list[str], order: str, severity: str, hold: int, worst: int = 2, chunk: int = 100_000) -> DataFrame:
+    """Adds ``held``, the state of a lane that holds its worst event, and ``was``, the row before's (null on a key's first row).
 
-    The state so steps down after ``hold`` quiet rows. ``was`` is null on a key's first row.
+    An event (severity 1 to ``worst``; 0 or null is none) as bad as the state or worse sets it and is its
+    anchor. The row ``hold`` rows after the last anchor steps the state down to the worst lesser event
+    since, which is a new anchor, so that the count starts again; without one the state is 0.
+
+    What holds at a row so depends on at most ``hold`` x ``worst`` rows before it: level by level from the
+    worst down, a level's anchors and what they cover follow from windows of ``hold`` rows, in blocks.
     """
-    rows = in_blocks(df, keys, order, [], hold, chunk)
+    rows = in_blocks(df.withColumn("_sev", F.coalesce(F.col(severity), F.lit(0))), keys, order, [], hold * worst + 1, chunk)
     w = Window.partitionBy(*keys, "_block").orderBy("_no")
-    held = F.max(severity).over(w.rowsBetween(-(hold - 1), 0))
-    was = F.when(F.col("_no") > 0, F.max(severity).over(w.rowsBetween(-hold, -1)))
-    return rows.withColumn("held", held).withColumn("was", was).where("_home").drop("_no", "_block", "_home")
+    lately, until = w.rowsBetween(-(hold - 1), 0), w.rowsBetween(-hold, -hold)
+    rows = rows.withColumn("held", F.lit(0)).withColumn("_covered", F.lit(False)).withColumn("_down", F.lit(0))
+    for level in range(worst, 0, -1):
+        anchor = ~F.col("_covered") & ((F.col("_sev") == level) | (F.col("_down") == level))
+        rows = rows.withColumn("_anchor", anchor.cast("int"))
+        rows = rows.withColumn("_near", F.max("_anchor").over(lately) == 1).withColumn("_ended", F.coalesce(F.max("_anchor").over(until) == 1, F.lit(False)))
+        lesser = F.max(F.when(F.col("_sev") < level, F.col("_sev")).otherwise(0)).over(lately)
+        steps = F.col("_ended") & ~F.col("_near") & ~F.col("_covered")
+        rows = rows.withColumn("_down", F.when(steps, lesser).otherwise(F.col("_down")))
+        rows = rows.withColumn("held", F.when(~F.col("_covered") & F.col("_near"), level).otherwise(F.col("held")))
+        rows = rows.withColumn("_covered", F.col("_covered") | F.col("_near"))
+    was = F.lag("held").over(w)
+    return rows.withColumn("was", was).where("_home").drop("_no", "_block", "_home", "_sev", "_covered", "_down", "_anchor", "_near", "_ended")
+
+
+def in_order(df: DataFrame, keys: list[str], time: str, ties: list[str], chunk_ns: int = 60 * NS) -> DataFrame:
+    """Adds ``no``, the row's number from 0 in its key by (``time``, ``ties``), and ``before``, the time of the row before it."""
+    rows = in_blocks(df, keys, time, ties, 1, chunk_ns)
+    before = F.lag(time).over(Window.partitionBy(*keys, "_block").orderBy("_no"))
+    return rows.withColumn("before", before).where("_home").withColumnRenamed("_no", "no").drop("_block", "_home")
 
 
 def quiet_streaks(df: DataFrame, keys: list[str], order: str, heard: Column, chunk: int, out: str = "misses") -> DataFrame:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from helmsway.functions import geometry as g
 from helmsway.operators import pairing, ranks, sequences
-from helmsway.operators.scan import running
+from helmsway.operators.scan import NS, running
 from helmsway.sources.tables import table
 
 CHUNK = 100_000
 PERIOD_NS = 103_000_000
+STALE_NS = 120_000_000
 
 
 def sweeps(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +42,7 @@ def pair_interval(spark: SparkSession, d: str) -> DataFrame:
 
 def pair_stale(spark: SparkSession, d: str) -> DataFrame:
     """J1 with the stale fallback: an older frame within 120 ms of the trigger."""
-    return _pair(spark, d, wait=True, stale_ns=120_000_000)
+    return _pair(spark, d, wait=True, stale_ns=STALE_NS)
 
 
 def pair_outcomes(spark: SparkSession, d: str) -> DataFrame:
@@ -184,9 +185,13 @@ def frame_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def silence(spark: SparkSession, d: str) -> DataFrame:
-    """W10, ST9: sweeps of a drive that had no left frame, counted in a row; silent from three on."""
-    paired = _pair(spark, d, wait=True, stale_ns=0)
-    counted = sequences.quiet_streaks(paired, ["drive"], "seq", F.col("outcome") == "paired", CHUNK)
+    """W10, ST9: sweeps in a row, as they arrive, that neither got a left frame nor saw one arrive since the sweep before; silent from three on."""
+    got = _pair(spark, d, wait=True, stale_ns=STALE_NS).select("drive", "seq", F.col("outcome").isin("paired", "stale").alias("got"))
+    rows = sequences.in_order(sweeps(spark, d).select("drive", "seq", "arrival_ns").join(got, ["drive", "seq"]), ["drive"], "arrival_ns", ["seq"])
+    seen = left_frames(spark, d).where(F.col("arrival_ns").isNotNull()).select("drive", "arrival_ns", F.col("arrival_ns").alias("_frame"))
+    both = running(rows.unionByName(seen, allowMissingColumns=True), ["drive"], "arrival_ns", "_frame", "_last", 60 * NS, how="max").where(F.col("seq").isNotNull())
+    arrived = F.coalesce(F.col("_last") > F.coalesce(F.col("before"), F.lit(-(2**62))), F.lit(False))
+    counted = sequences.quiet_streaks(both.withColumn("_heard", F.col("got") | arrived), ["drive"], "no", F.col("_heard"), CHUNK)
     return counted.select("drive", "seq", "misses", (F.col("misses") >= 3).alias("silent"))
 
 
@@ -357,15 +362,30 @@ SELECT drive, seq, trigger_ns, before FROM b WHERE trigger_ns <= before""",
 WITH l AS (SELECT drive, seq, count(tov_ns) AS t FROM frames WHERE side = 'left' GROUP BY ALL), r AS (SELECT drive, seq, count(tov_ns) AS t FROM frames WHERE side = 'right' GROUP BY ALL)
 SELECT drive, seq, CASE WHEN l.t IS NULL THEN 'no_left' WHEN r.t IS NULL THEN 'no_right' WHEN l.t = 0 THEN 'left_without_time' WHEN r.t = 0 THEN 'right_without_time' ELSE 'ok' END AS state
 FROM l FULL JOIN r USING (drive, seq)""",
-    "silence": _pair_sql(0)
-    + """, n AS (SELECT drive, seq, outcome = 'paired' AS heard, row_number() OVER (PARTITION BY drive ORDER BY seq) AS i FROM paired),
-m AS (SELECT *, i - coalesce(max(CASE WHEN heard THEN i END) OVER (PARTITION BY drive ORDER BY seq), 0) AS misses FROM n)
+    "silence": _pair_sql(120_000_000)
+    + """, o AS (
+  SELECT s.drive, s.seq, s.arrival_ns, p.outcome IN ('paired', 'stale') AS got,
+    lag(s.arrival_ns) OVER (PARTITION BY s.drive ORDER BY s.arrival_ns NULLS FIRST, s.seq) AS before,
+    row_number() OVER (PARTITION BY s.drive ORDER BY s.arrival_ns NULLS FIRST, s.seq) AS i
+  FROM s JOIN paired p ON s.drive = p.drive AND s.seq = p.seq
+), a AS (SELECT drive, min(arrival_ns) AS at FROM frames WHERE side = 'left' GROUP BY drive, seq, tov_ns
+), h AS (
+  SELECT *, got OR EXISTS (SELECT 1 FROM a WHERE a.drive = o.drive AND a.at <= o.arrival_ns AND (o.before IS NULL OR a.at > o.before)) AS heard FROM o
+), m AS (SELECT *, i - coalesce(max(CASE WHEN heard THEN i END) OVER (PARTITION BY drive ORDER BY i), 0) AS misses FROM h)
 SELECT drive, seq, misses, misses >= 3 AS silent FROM m""",
-    "sticky_state": _pair_sql(0)
-    + """, h AS (SELECT drive, seq, max(CASE WHEN outcome = 'paired' THEN 0 WHEN outcome IN ('stale', 'pair_late') THEN 1 ELSE 2 END)
-  OVER (PARTITION BY drive ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS state FROM paired),
-c AS (SELECT *, lag(state) OVER (PARTITION BY drive ORDER BY seq) AS was FROM h)
-SELECT drive, seq, state FROM c WHERE was IS NULL OR was <> state""",
+    "sticky_state": _pair_sql(0).replace("WITH", "WITH RECURSIVE", 1)
+    + """, e AS (
+  SELECT drive, seq, CASE WHEN outcome = 'paired' THEN 0 WHEN outcome IN ('stale', 'pair_late') THEN 1 ELSE 2 END AS sev,
+    row_number() OVER (PARTITION BY drive ORDER BY seq) AS i FROM paired
+), m AS (
+  SELECT drive, seq, i, sev AS state, 0 AS quiet, 0 AS lesser, NULL::INT AS was FROM e WHERE i = 1
+  UNION ALL
+  SELECT e.drive, e.seq, e.i,
+    CASE WHEN sev > 0 AND sev >= state THEN sev WHEN state > 0 AND quiet + 1 >= 10 THEN greatest(lesser, sev) ELSE state END,
+    CASE WHEN sev > 0 AND sev >= state THEN 0 WHEN state > 0 AND quiet + 1 >= 10 THEN 0 ELSE quiet + 1 END,
+    CASE WHEN sev > 0 AND sev >= state THEN 0 WHEN state > 0 AND quiet + 1 >= 10 THEN 0 ELSE greatest(lesser, sev) END, state
+  FROM m JOIN e ON e.drive = m.drive AND e.i = m.i + 1
+) SELECT drive, seq, state FROM m WHERE was IS NULL OR was <> state""",
     "adjacent_sweeps": _SWEEPS
     + " SELECT a.drive, a.seq, b.trigger_ns IS NOT NULL AS consecutive, a.trigger_ns - b.trigger_ns AS dt_ns FROM s a LEFT JOIN s b ON a.drive = b.drive AND a.seq = b.seq + 1",
     "pairing_offset": _pair_sql(0) + " SELECT drive, seq, pair_ns - tov_start_ns AS offset_ns FROM paired JOIN s USING (drive, seq) WHERE outcome = 'paired'",

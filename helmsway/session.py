@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +30,14 @@ def session(master: str | None = None, app: str = "helmsway", **conf: str) -> Sp
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's checkpoint folder, so that later stages survive a lost executor.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in local
-    tests, is a temporary folder of this machine used.
+    The folder is the session's ``spark.checkpoint.dir``. Only a session on this machine alone may leave
+    it unset, as in tests: it then uses a temporary folder; on a cluster that is an error.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="helmsway-checkpoint-"))
+        if shared is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="helmsway-checkpoint-"))
     return df.checkpoint(eager=True)

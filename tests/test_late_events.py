@@ -1,7 +1,5 @@
 import random
 
-from oracle import rows_of
-
 from helmsway.operators import late_events as le
 
 S = le.NS
@@ -70,23 +68,48 @@ def test_empty_and_extra_columns(spark):
     assert le.kslack(df, ["k"]).select("fate", "_part").collect() == [("in_time", 8)]
 
 
-def test_stream_gives_the_batch_result(spark, tmp_path):
+def streamed(spark, tmp_path, rows, parts=4):
+    """Rows of the streaming form; the input ends with a heartbeat."""
     from helmsway.streaming.late_events import kslack_stream
     from helmsway.streaming.tracks import read_replay, write_replay
 
+    end = max(r[4] for r in rows) + 3600 * S
+    beats = [("beat", None, None, None, end), ("beat", None, None, None, end + S)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    write_replay(df, str(tmp_path / "in"), "arrival_ns", parts)
+    query = None
+    for n, more in enumerate((None, beats[:1], beats[1:])):
+        if more:
+            spark.createDataFrame(more, COLUMNS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = kslack_stream(read_replay(spark, str(tmp_path / "in"), df.schema), ["k"])
+        sink = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append")
+        query = sink.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out")).toPandas()
+    return out[out.k.isna() | (out.k != "beat")]
+
+
+def test_stream_gives_the_batch_result(spark, tmp_path):
     rows = [r for r in samples(seed=5) if r[4] is not None]
     df = spark.createDataFrame(rows, COLUMNS)
-    write_replay(df, str(tmp_path / "in"), "arrival_ns", 4)
-    stream = kslack_stream(read_replay(spark, str(tmp_path / "in"), df.schema), ["k"])
-    query = stream.writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    out = spark.table("late").toPandas()
-    got = dict(out[out.kind == "sample"][["seq", "fate"]].itertuples(index=False))
-    want = {r["seq"]: r["fate"] for r in le.kslack(df, ["k"]).collect()}
-    assert {int(k): v for k, v in got.items()} == want
-    released = out[(out.kind == "released")]
-    assert set(released.seq.astype(int)) <= {s for s, f in want.items() if f != "too_late"}
-    final = {(r["k"], r["period"]): r["n_final"] for r in le.period_versions(le.kslack(df, ["k"]), ["k"], "seq").collect()}
+    copies = [(*r[:4], r[4] + S) for r in rows[::7]]
+    out = streamed(spark, tmp_path, rows + copies)
+    fated = le.kslack(df, ["k"])
+    told = out[out.kind == "sample"]
+    assert len(told) == len(rows) and dict(zip(told.seq.astype(int), told.fate)) == {r["seq"]: r["fate"] for r in fated.collect()}
+    final = {(r["k"], r["period"]): (r["n_final"], r["first_event_ns"], r["last_event_ns"], r["max_step_ns"]) for r in le.period_versions(fated, ["k"], "seq").collect() if r["n_final"]}
+    closed = {}
+    for r in out[out.kind == "closed"].itertuples():
+        key = (None if r.k != r.k else r.k, int(r.period))
+        if key not in closed or closed[key][0] < r.n:
+            closed[key] = tuple(None if x != x else int(x) for x in (r.n, r.first_event_ns, r.last_event_ns, r.max_step_ns))
+    assert closed == final
     published = out[out.kind == "published"].groupby(["k", "period"], dropna=False).n.max()
-    assert all(n <= final[(None if k != k or k is None else k, int(p))] for (k, p), n in published.items())
-    assert rows_of(out[out.kind == "sample"][["seq"]].astype(int)) == [(r[1],) for r in sorted(rows, key=lambda r: repr((r[1],)))]
+    assert len(published) and all(n <= final[(None if k != k or k is None else k, int(p))][0] for (k, p), n in published.items())
+
+
+def test_the_first_arrival_of_copies_counts_in_a_stream(spark, tmp_path):
+    rows = [("a", 1, 5 * S, 5 * S, 6 * S), ("a", 1, 5 * S, 5 * S, 30 * S), ("a", 2, 9 * S, 9 * S, 9 * S), ("a", 3, 5 * S, 5 * S, 40 * S)]
+    out = streamed(spark, tmp_path, rows, 2)
+    assert {(int(r.seq), r.fate) for r in out[out.kind == "sample"].itertuples()} == {(1, "in_time"), (2, "in_time"), (3, "too_late")}
+    assert {(int(r.period), int(r.n)) for r in out[out.kind == "closed"].itertuples()} == {(5, 1), (9, 1)}

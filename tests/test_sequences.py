@@ -1,4 +1,6 @@
-"""Slots and deadlines by hand."""
+"""Slots, deadlines and lanes by hand."""
+
+import random
 
 from conftest import SMALL
 
@@ -40,3 +42,33 @@ def test_every_sweep_has_a_row(spark):
     present = {(r["drive"], r["seq"]) for r in streams.drive_slots(spark, SMALL).where("outcome = 'Present'").collect()}
     assert present == here == {tuple(r) for r in streams.skip_deadlines(spark, SMALL).select("drive", "seq").collect()}
     assert not here & {tuple(r) for r in streams.absent_deadlines(spark, SMALL).select("drive", "seq").collect()}
+
+
+def fold(events, hold):
+    """The lane row by row: holds the worst, steps down after so many quiet rows, and starts the count again."""
+    state, quiet, lesser, out = 0, 0, 0, []
+    for e in events:
+        if e and e >= state:
+            state, quiet, lesser = e, 0, 0
+        else:
+            lesser, quiet = max(lesser, e), quiet + 1
+            if state and quiet >= hold:
+                state, quiet, lesser = lesser, 0, 0
+        out.append(state)
+    return out
+
+
+def test_a_lane_holds_its_worst_and_counts_again(spark, monkeypatch):
+    from helmsway.operators import scan
+
+    r = random.Random(1)
+    lanes = {"a": [2, 1] + [0] * 28, "b": [r.choice([0] * 12 + [1, 2]) for _ in range(400)], "c": [r.choice([0] * 6 + [1, 1, 2, 3]) for _ in range(300)], "d": [0]}
+    rows = [(k, i, s) for k, v in lanes.items() for i, s in enumerate(v)]
+    df = spark.createDataFrame(rows, "k string, i bigint, s int")
+    assert fold(lanes["a"], 10)[9:21] == [2] + [1] * 10 + [0]
+    for size in (4096, 64):
+        monkeypatch.setattr(scan.in_blocks, "__defaults__", (size,))
+        for k, hold in (("a", 10), ("b", 10), ("c", 4), ("d", 10)):
+            got = sequences.held_worst(df.where(f"k = '{k}'"), ["k"], "i", "s", hold, worst=3).orderBy("i").collect()
+            want = fold(lanes[k], hold)
+            assert [x["held"] for x in got] == want and [x["was"] for x in got] == [None, *want[:-1]]
