@@ -70,15 +70,17 @@ def neighbour_pairs(cells: DataFrame, keys: list[str]) -> DataFrame:
     return asked.join(there, [*keys, "jx", "jy", "jz"]).select(*keys, "ix", "iy", "iz", "jx", "jy", "jz")
 
 
-def _roots(cells: np.ndarray) -> np.ndarray:
-    """Smallest row of the component of each cell (rows of indices, distinct), touching cells being joined."""
-    n = len(cells)
-    place = {tuple(c): i for i, c in enumerate(cells.tolist())}
-    pairs = [(i, j) for (x, y, z), i in place.items() for a, b, c in FORWARD if (j := place.get((x + a, y + b, z + c))) is not None]
+def _roots(keys: np.ndarray) -> np.ndarray:
+    """Smallest row of the component of each cell, touching cells being joined; ``keys`` are packed, distinct and in order."""
+    n, pairs = len(keys), []
+    for a, b, c in FORWARD:
+        wanted = keys + ((a << 42) + (b << 21) + c)
+        at = np.minimum(np.searchsorted(keys, wanted), n - 1)
+        here = np.flatnonzero(keys[at] == wanted)
+        pairs.append(np.stack([here, at[here]], axis=1))
+    pairs = np.concatenate(pairs)
     root = np.arange(n)
-    if not pairs:
-        return root
-    a, b = np.array(pairs).T
+    a, b = pairs.T
     while True:
         low = np.minimum(root[a], root[b])
         new = root.copy()
@@ -99,7 +101,7 @@ def clusters(voxels: DataFrame, keys: list[str]) -> DataFrame:
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["ix", "iy", "iz"]).sort_values("key")
-        root = _roots(pdf[["ix", "iy", "iz"]].to_numpy())
+        root = _roots(pdf["key"].to_numpy(np.int64))
         return pdf[[*keys, "ix", "iy", "iz"]].assign(component=pdf["key"].to_numpy()[root])
 
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["ix bigint, iy bigint, iz bigint, component bigint"])

@@ -111,6 +111,23 @@ def held_worst(df: DataFrame, keys: list[str], order: str, severity: str, hold:
     return rows.withColumn("was", was).where("_home").drop("_no", "_block", "_home", "_sev", "_covered", "_down", "_anchor", "_near", "_ended")
 
 
+def absent_between(gaps: DataFrame, ranges: DataFrame, keys: list[str], low: str, high: str, out: str, chunk: int = 100_000) -> DataFrame:
+    """Adds how many absent numbers of the key lie between ``low`` and ``high`` of each row (distinct), from ``absent_ranges``.
+
+    Absent numbers up to some number are those of all ranges that begin by then, less what of the last
+    one lies beyond: two running figures over the ranges, looked up at both ends of a gap.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    same = [F.col(k).alias(n) for k, n in zip(keys, names)]
+    ends = F.inline(F.array(F.struct((F.col(high) - 1).alias("_at"), F.lit(1).alias("_sign")), F.struct(F.col(low).alias("_at"), F.lit(-1).alias("_sign"))))
+    asked = gaps.withColumn("_row", F.struct(*[F.col(c) for c in gaps.columns])).select(*same, "_row", ends)
+    known = ranges.select(*same, F.col("first_absent").alias("_at"), F.col("n_absent").alias("_n"), F.col("last_absent").alias("_last"))
+    both = asked.unionByName(known, allowMissingColumns=True)
+    both = running(running(both, names, "_at", "_n", "_sum", chunk), names, "_at", "_last", "_most", chunk, how="max").where(F.col("_row").isNotNull())
+    upto = F.coalesce(F.col("_sum") - F.greatest(F.col("_most") - F.col("_at"), F.lit(0)), F.lit(0))
+    return both.groupBy("_row").agg(F.sum(upto * F.col("_sign")).alias(out)).select("_row.*", out)
+
+
 def in_order(df: DataFrame, keys: list[str], time: str, ties: list[str], chunk_ns: int = 60 * NS) -> DataFrame:
     """Adds ``no``, the row's number from 0 in its key by (``time``, ``ties``), and ``before``, the time of the row before it."""
     rows = in_blocks(df, keys, time, ties, 1, chunk_ns)

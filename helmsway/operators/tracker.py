@@ -7,6 +7,7 @@ state demands, sweep by sweep. The same step function serves the batch and the s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -112,26 +113,49 @@ def follow(dets: DataFrame, drive: str, seq: str, at_ns: str, idx: str, ego: tup
 
     ``ego`` names the columns of the vehicle's forward and lateral speed and yaw rate on each row, if
     known. Ids are numbered within a stretch. A sweep with no detections is a row with null ``idx``.
+    A task takes the stretches of its partition one after another, a batch of sweeps at a time.
     """
     rows = unbroken(dets, drive, seq)
     kinds = dict(rows.dtypes)
     own = list(ego or ())
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([seq, idx])
-        state, out = Tracks(), []
-        points, given = pdf[["x", "y", "z"]].to_numpy(float), pdf[idx].notna().to_numpy()
-        numbers, times, motions = pdf[seq].to_numpy(), pdf[at_ns].to_numpy(), pdf[own].to_numpy(float)
-        starts = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])
-        for a, b in zip(starts, [*starts[1:], len(pdf)]):
-            motion = tuple(motions[a]) if own and np.isfinite(motions[a]).all() else None
-            told = step(state, int(numbers[a]), int(times[a]), points[a:b][given[a:b]], motion)
-            out.append(told | {seq: np.full(len(told["track_id"]), numbers[a])})
-        whole = pd.DataFrame({c: np.concatenate([o[c] for o in out]) for c in out[0]})
-        return whole.assign(**{drive: pdf[drive].iloc[0], "stretch": pdf["stretch"].iloc[0]})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, of, rest = Tracks(), None, None
+        for pdf, last in _with_last(frames):
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            stretches, numbers = pdf["_of"].to_numpy(), pdf[seq].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (numbers[1:] != numbers[:-1]) | (stretches[1:] != stretches[:-1])][: len(pdf)])
+            whole = len(pdf) if last or not starts.size else starts[-1]  # the last sweep may go on in the next batch
+            rest = pdf.iloc[whole:]
+            points, given, times, motions = pdf[["x", "y", "z"]].to_numpy(float), pdf[idx].notna().to_numpy(), pdf[at_ns].to_numpy(), pdf[own].to_numpy(float)
+            starts, out = starts[starts < whole], []
+            for a, b in zip(starts, [*starts[1:], whole]):
+                if stretches[a] != of:
+                    state, of = Tracks(), stretches[a]
+                motion = tuple(motions[a]) if own and np.isfinite(motions[a]).all() else None
+                told = step(state, int(numbers[a]), int(times[a]), points[a:b][given[a:b]], motion)
+                out.append(told | {"_row": np.full(len(told["track_id"]), a)})
+            if out:
+                tracks = pd.DataFrame({c: np.concatenate([o[c] for o in out]) for c in out[0]})
+                at = tracks.pop("_row").to_numpy(int)
+                yield tracks.assign(**{c: pdf[c].to_numpy()[at] for c in (drive, seq, "stretch")})
 
     schema = f"`{drive}` {kinds[drive]}, `{seq}` {kinds[seq]}, stretch bigint, {TRACK_COLUMNS}"
-    return rows.select(drive, seq, "stretch", at_ns, idx, "x", "y", "z", *own).groupBy(drive, "stretch").applyInPandas(run, schema)
+    of = F.concat_ws("|", F.col("stretch"), F.col(drive).isNull(), F.col(drive).cast("string")).alias("_of")
+    placed = rows.select(drive, seq, "stretch", at_ns, idx, "x", "y", "z", *own, of).repartition("_of").sortWithinPartitions("_of", seq, idx)
+    return placed.mapInPandas(run, schema)
+
+
+def _with_last(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, bool]]:
+    """Each frame that has rows, and whether it is the last."""
+    held = None
+    for frame in frames:
+        if len(frame):
+            if held is not None:
+                yield held, False
+            held = frame
+    if held is not None:
+        yield held, True
 
 
 def answers(tracks: DataFrame, keys: list[str], vf: str | None = None, k: str | None = None, voxel_m: float = VOXEL_M, box: list[str] | None = None, rect: list[str] | None = None) -> DataFrame:

@@ -86,11 +86,9 @@ def net_seq_gap(spark: SparkSession, d: str) -> DataFrame:
     drives = table(spark, d, "runs").select("run_id", "epoch", "drive").distinct()
     rows = table(spark, d, "evidence").where(F.col("edge") == "velo->reduce").select("run_id", "epoch", "seq").distinct().join(drives, ["run_id", "epoch"])
     steps = sequences.with_previous(rows, keys, "seq", "prev", CHUNK).where(F.col("seq") - F.col("prev") > 1)
-    lacking = sequences.absent_slots(table(spark, d, "sweeps"), ["drive"], "seq", CHUNK).withColumnRenamed("seq", "_absent")
-    asked = steps.withColumn("_absent", F.explode(F.sequence(F.col("prev") + 1, F.col("seq") - 1)))
-    known = asked.join(lacking, ["drive", "_absent"], "left_semi").groupBy("run_id", "epoch", "seq").agg(F.count(F.lit(1)).alias("n_absent"))
-    joined = steps.join(known, ["run_id", "epoch", "seq"], "left")
-    return joined.select("run_id", "epoch", "seq", (F.col("seq") - F.col("prev")).alias("seq_gap"), (F.col("seq") - F.col("prev") - F.coalesce("n_absent", F.lit(0))).alias("net_gap"))
+    between = sequences.absent_between(steps, sequences.absent_ranges(table(spark, d, "sweeps"), ["drive"], "seq", CHUNK), ["drive"], "prev", "seq", "n_absent")
+    gap = F.col("seq") - F.col("prev")
+    return between.select("run_id", "epoch", "seq", gap.alias("seq_gap"), (gap - F.col("n_absent")).alias("net_gap"))
 
 
 def absent_ranges(spark: SparkSession, d: str) -> DataFrame:
