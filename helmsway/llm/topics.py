@@ -30,13 +30,16 @@ from pyspark.sql import functions as F
 
 from helmsway.session import checkpointed
 
-#: Scripts written without room between words, and all that have no capitals. The first code point of the former.
+#: Scripts written without room between words, and the first code point of them.
 UNSPACED, FIRST_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}", 0x0E00
-UNCASED = rf"[\p{{L}}\p{{M}}&&[^\p{{Lu}}\p{{Ll}}\p{{Lt}}{UNSPACED}]]"
-#: A word has two letters or more; a capital may lead it or make up all of it. Embedded data is skipped.
+#: A word has two letters or more; a capital may lead it or make up all of it, where its script has capitals. Embedded
+#: data is skipped. The ranges only spare most characters the search for their kind.
 WORD = (
-    rf"[A-Za-z0-9+/]{{48,}}|([a-z]{{2,}}(?![\p{{Ll}}\p{{M}}])|\p{{Lu}}?[\p{{Ll}}\p{{M}}]{{2,}}|\p{{Lu}}{{2,}}|{UNCASED}{{2,}}|[{UNSPACED}\p{{M}}]{{2,}})"
+    r"[A-Za-z0-9+/]{48,}|([a-z]{2,}+(?![\u00AA-\x{1FFFF}&&[\p{Ll}\p{M}]])|\p{Lu}?[\p{Ll}\p{M}]{2,}|\p{Lu}{2,}"
+    r"|[\u0588-\x{3FFFF}&&[\p{L}\p{M}]&&[^\p{Lu}\p{Ll}]]{2,})"
 )
+#: The same for texts of ASCII alone, which is much faster.
+ASCII_WORD = r"[A-Za-z0-9+/]{48,}|([A-Z]?[a-z]{2,}|[A-Z]{2,})"
 #: Shares of documents between which a word belongs to the vocabulary.
 LEAST_SHARE, MOST_SHARE, LEAST_DOCS = 0.0015, 0.15, 5
 #: Documents without the word that each language is taken to have besides its own.
@@ -60,7 +63,10 @@ def words_of(text: Column) -> Column:
     cells = F.from_json(text, "cells array<struct<source string, text string>>")["cells"]
     written = F.concat_ws(" ", F.transform(cells, lambda c: F.concat_ws(" ", c["source"], c["text"])))
     plain = F.coalesce(F.when(F.ltrim(text).startswith("{"), F.nullif(written, F.lit(""))), text)
-    found = F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(WORD), F.lit(1)), F.lower))
+    every = lambda p, pattern: F.regexp_extract_all(p, F.lit(pattern), F.lit(1))
+    # an array of one, so that the text is parsed once for both cases
+    runs = F.transform(F.array(plain), lambda p: F.when(F.length(p) == F.octet_length(p), every(p, ASCII_WORD)).otherwise(every(p, WORD)))[0]
+    found = F.array_distinct(F.transform(runs, F.lower))
     pairs = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, 2))
     unspaced = lambda w: (F.ascii(w) >= FIRST_UNSPACED) & w.rlike(f"^[{UNSPACED}]")
     return F.array_remove(F.array_distinct(F.flatten(F.transform(found, lambda w: F.when(unspaced(w), pairs(w)).otherwise(F.array(w))))), "")
