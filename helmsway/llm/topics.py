@@ -53,9 +53,9 @@ PASSES, ROUNDS, LAST_ROUNDS = 10, 4, 12
 TOP_TERMS, AGREED = 20, 0.5
 #: What makes a subject: share of the document's words and number of words.
 SHARE, WORDS = 0.06, 2.5
-#: Documents inferred at once, so that their numbers stay in the processor's cache; words of a slice of counts;
-#: groups in which the parts' counts are first summed.
-AT_ONCE, SLICE, FAN = 256, 512, 32
+#: Documents inferred at once, and words of a table of these, so that its numbers stay in the processor's cache; words of
+#: a slice of counts; groups in which the parts' counts are first summed.
+AT_ONCE, CELLS, SLICE, FAN = 512, 1024, 512, 32
 
 
 def words_of(text: Column) -> Column:
@@ -112,26 +112,38 @@ def subject_topics(topics: np.ndarray, uses: np.ndarray) -> np.ndarray:
     return owner
 
 
-def infer(bags: list[np.ndarray], chance: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words per topic of each document; the words of all, and each one's topic shares.
+def infer(bags: list[np.ndarray], chance: np.ndarray, rounds: int, each: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words per topic of each document; with ``each`` also the words of all, and each one's topic shares, shorter documents first.
 
-    ``chance`` has a row for each word: its probability in each topic (float32, above 0).
+    ``chance`` has a row for each word: its probability in each topic (float32, above 0). Documents of
+    like length are laid side by side in tables of CELLS words at most (one document at least).
     """
     sizes = np.array([len(b) for b in bags], np.int64)
     out = np.zeros((len(bags), chance.shape[1]), np.float32)
-    full = np.flatnonzero(sizes)
-    if not full.size:
-        return out, np.empty(0, np.int64), np.empty((0, chance.shape[1]), np.float32)
-    words = np.concatenate(bags)
-    doc, starts = np.repeat(np.arange(full.size), sizes[full]), (np.cumsum(sizes) - sizes)[full]
-    likely = chance[words]
-    share = np.ones((full.size, chance.shape[1]), np.float32)
-    for _ in range(rounds):
-        weight = 1 / np.einsum("ij,ij->i", likely, share[doc])
-        held = share * np.add.reduceat(likely * weight[:, None], starts, axis=0)
-        last, share = share, held + np.float32(ALPHA)
-    out[full] = held
-    return out, words, likely * last[doc] * weight[:, None]
+    words, shares = [np.empty(0, np.int64)], [np.empty((0, chance.shape[1]), np.float32)]
+    order = np.argsort(sizes, kind="stable")
+    order, at = order[sizes[order] > 0], 0
+    while at < order.size:
+        upto = at + 1
+        while upto < order.size and (upto + 1 - at) * sizes[order[upto]] <= CELLS:
+            upto += 1
+        docs, at = order[at:upto], upto
+        used = np.arange(sizes[docs[-1]])[None, :] < sizes[docs][:, None]
+        table = np.zeros(used.shape, np.int64)
+        table[used] = np.concatenate([bags[d] for d in docs])
+        likely = chance[table]
+        likely[~used] = 0
+        share = np.ones((docs.size, chance.shape[1]), np.float32)
+        for _ in range(rounds):
+            seen = np.matmul(likely, share[:, :, None])[:, :, 0]
+            weight = np.divide(1, seen, out=np.zeros_like(seen), where=used)
+            held = share * np.matmul(weight[:, None, :], likely)[:, 0, :]
+            last, share = share, held + np.float32(ALPHA)
+        out[docs] = held
+        if each:
+            words.append(table[used])
+            shares.append((likely * last[:, None, :] * weight[:, :, None])[used])
+    return out, np.concatenate(words), np.concatenate(shares)
 
 
 def _summed(parts: DataFrame) -> DataFrame:
@@ -219,7 +231,7 @@ def subjects_of(docs: DataFrame, areas: DataFrame, labels: DataFrame, seed: int
         for pdf in frames:
             for at in range(0, len(pdf), AT_ONCE):
                 part = pdf.iloc[at : at + AT_ONCE]
-                held = infer(part["ids"].tolist(), chance, LAST_ROUNDS)[0] @ belongs
+                held = infer(part["ids"].tolist(), chance, LAST_ROUNDS, each=False)[0] @ belongs
                 size = np.maximum(part["ids"].map(len).to_numpy(), 1)[:, None]
                 row, subject = np.nonzero((held >= WORDS) & (held / size >= SHARE))
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[row], "subject": np.array(subjects, object)[subject]})
