@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from helmsway.operators.scan import NS, in_blocks, running
 
+#: Numbers that are made from a piece of a run at a time.
+PIECE = 2**16
+
 
 def with_previous(df: DataFrame, keys: list[str], order: str, out: str, chunk: int) -> DataFrame:
     """Adds the largest ``order`` of the key below this row's; null for the first. Equal rows see the same."""
@@ -58,6 +61,53 @@ def slot_deadlines(df: DataFrame, keys: list[str], seq: str, due: str, period_ns
     return slots.select(*keys, seq, F.when(F.col("_first"), before).otherwise(inside).alias("deadline_ns"))
 
 
+def each_number(runs: DataFrame, low: str, high: str, out: str) -> DataFrame:
+    """Each row once for every number from ``low`` to ``high``, which ``out`` replaces; none where ``high`` is below ``low``.
+
+    A run is cut into pieces and these into smaller ones, down to PIECE numbers, so that no array is long
+    however long the run; the last pieces are shared out to all tasks, which a single run so keeps busy.
+    """
+    cut = runs.where(F.col(low) <= F.col(high))
+    for step in (PIECE**3, PIECE**2, PIECE):
+        cut = cut.withColumn(low, F.explode(F.sequence(low, high, F.lit(step).cast("bigint"))))
+        cut = cut.withColumn(high, F.when(F.col(high) - F.col(low) >= step, F.col(low) + F.lit(step - 1)).otherwise(F.col(high)))
+    shared = cut.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), low, high)
+    return shared.withColumn(out, F.explode(F.sequence(low, high))).drop(low, high)
+
+
+def deadline(no: Column, a: str, b: str, period: Column) -> Column:
+    """Due time of slot ``no`` between the known slots ``a`` and ``b``, structs of (no, due): linear with integer division, or by the period from the only one.
+
+    The product of a due time and a number may exceed a BIGINT: so the quotient is taken before the product, and
+    between slots too far apart for that also, decimals count. A time by the period that is no BIGINT is null.
+    """
+    span, steps, at = F.col(f"{b}.due") - F.col(f"{a}.due"), F.col(f"{b}.no") - F.col(f"{a}.no"), no - F.col(f"{a}.no")
+    near = F.call_function("div", span, steps) * at + F.call_function("div", span % steps * at, steps)
+    far = F.call_function("div", span.cast("decimal(19,0)") * at.cast("decimal(19,0)"), steps.cast("decimal(19,0)"))
+    inside = F.col(f"{a}.due") + F.when(steps < 2**31, near).otherwise(far)
+    after = F.try_add(F.col(f"{a}.due"), F.try_multiply(at, period))
+    before = F.try_subtract(F.col(f"{b}.due"), F.try_multiply(F.col(f"{b}.no") - no, period))
+    return F.coalesce(inside, after, before)
+
+
+def _known(df: DataFrame, keys: list[str], seq: str, due: str) -> DataFrame:
+    """(keys, seq, ``_known``): a key's numbers, once each, with (no, due) where there is a due time."""
+    own = df.where(F.col(seq) >= 0).groupBy(*keys, seq).agg(F.min(due).alias(due))
+    return own.select(*keys, seq, F.when(F.col(due).isNotNull(), F.struct(F.col(seq).alias("no"), F.col(due).alias("due"))).alias("_known"))
+
+
+def _between(own: DataFrame, keys: list[str], seq: str, chunk: int) -> DataFrame:
+    """Adds ``_a``, the last known slot below, and ``_b``, the first known one from there on."""
+    rows = running(own.withColumn("_back", -F.col(seq)), keys, seq, "_known", "_a", chunk, how="max", strict=True)
+    return running(rows, keys, "_back", "_known", "_b", chunk, how="min").drop("_back", "_known")
+
+
+def present_slots(df: DataFrame, keys: list[str], seq: str, due: str, periods: DataFrame, chunk: int = 100_000) -> DataFrame:
+    """(keys, seq, due) of the slots of ``all_slots`` that are present; absent ones are not made for it."""
+    rows = _between(_known(df, keys, seq, due), keys, seq, chunk).join(periods, keys, "left")
+    return rows.select(*keys, seq, deadline(F.col(seq), "_a", "_b", F.col("period_ns")).alias(due))
+
+
 def all_slots(df: DataFrame, keys: list[str], seq: str, due: str, periods: DataFrame, chunk: int = 100_000, others: DataFrame | None = None) -> DataFrame:
     """(keys, seq, due, ``present``) of every slot from 0 to the key's largest number, or that of its ``others`` (keys, seq).
 
@@ -65,23 +115,15 @@ def all_slots(df: DataFrame, keys: list[str], seq: str, due: str, periods: DataF
     earliest due time counts; a slot without one gets its deadline as in ``slot_deadlines``, and behind the
     last known one by the period. ``periods`` has (keys, ``period_ns``). A key without any due time has nulls.
     """
-    own = df.where(F.col(seq) >= 0).groupBy(*keys, seq).agg(F.min(due).alias(due))
-    pairs = running(own.where(F.col(due).isNotNull()).withColumn("_pair", F.struct(F.col(seq), F.col(due))), keys, seq, "_pair", "_prev", chunk, how="max", strict=True)
-    low, high = F.struct(F.col(f"_prev.{seq}").alias("no"), F.col(f"_prev.{due}").alias("due")), F.struct(F.col(seq).alias("no"), F.col(due).alias("due"))
-    between = pairs.select(*keys, low.alias("_a"), high.alias("_b"), (F.coalesce(F.col(f"_prev.{seq}"), F.lit(-1)) + 1).alias("_from"), (F.col(seq) - 1).alias("_to"))
-    ends = own.groupBy(*keys).agg(F.max(F.when(F.col(due).isNotNull(), high)).alias("_a"), F.max(seq).alias("_to"))
+    own = _known(df, keys, seq, due)
+    rows = with_previous(_between(own, keys, seq, chunk), keys, seq, "_prev", chunk)
+    runs = rows.select(*keys, "_a", "_b", (F.coalesce("_prev", F.lit(-1)) + 1).alias("_low"), F.col(seq).alias("_high"), F.col(seq).alias("_own"))
     if others is not None:
-        longest = others.groupBy(*keys).agg(F.max(seq).alias("_longest"))
-        ends = ends.join(longest, keys, "left").withColumn("_to", F.greatest("_to", "_longest")).drop("_longest")
-    none = F.lit(None).cast(dict(between.dtypes)["_b"])
-    behind = ends.select(*keys, "_a", none.alias("_b"), (F.coalesce(F.col("_a.no"), F.lit(-1)) + 1).alias("_from"), "_to")
-    runs = between.unionByName(behind).where(F.col("_from") <= F.col("_to")).join(periods, keys, "left")
-    slots = runs.select(*keys, "_a", "_b", "period_ns", F.explode(F.sequence("_from", "_to")).alias(seq))
-    inside = F.col("_a.due") + F.call_function("div", (F.col("_b.due") - F.col("_a.due")) * (F.col(seq) - F.col("_a.no")), F.col("_b.no") - F.col("_a.no"))
-    after = F.col("_a.due") + (F.col(seq) - F.col("_a.no")) * F.col("period_ns")
-    before = F.col("_b.due") - (F.col("_b.no") - F.col(seq)) * F.col("period_ns")
-    told = slots.select(*keys, seq, F.coalesce(inside, after, before).alias(due), F.lit(False).alias("present"))
-    return own.withColumn("present", F.lit(True)).unionByName(told).groupBy(*keys, seq).agg(F.max(due).alias(due), F.max("present").alias("present"))
+        ends = own.groupBy(*keys).agg(F.max("_known").alias("_a"), (F.max(seq) + 1).alias("_low"))
+        longest = others.groupBy(*keys).agg(F.max(seq).alias("_high"))
+        runs = runs.unionByName(ends.join(longest, keys), allowMissingColumns=True)
+    slots = each_number(runs.join(periods, keys, "left"), "_low", "_high", seq)
+    return slots.select(*keys, seq, deadline(F.col(seq), "_a", "_b", F.col("period_ns")).alias(due), F.coalesce(F.col(seq) == F.col("_own"), F.lit(False)).alias("present"))
 
 
 def held_worst(df: DataFrame, keys: list[str], order: str, severity: str, hold: int, worst: int = 2, chunk: int = 100_000) -> DataFrame:

@@ -44,6 +44,49 @@ def test_every_sweep_has_a_row(spark):
     assert not here & {tuple(r) for r in streams.absent_deadlines(spark, SMALL).select("drive", "seq").collect()}
 
 
+FAR = 2**33  # Numbers lie further apart than an array is long
+
+
+def recorded(spark, folder, sweeps, frames):
+    """A drive's tables, of sweeps (seq, due_ns) that arrive 5 ns late, and frames."""
+    times = "tov_start_ns bigint, tov_end_ns bigint, trigger_ns bigint, due_ns bigint, arrival_ns bigint"
+    rows = [("d", no, 100 * i, 100 * i + 100, 100 * i, due, None if due is None else due + 5) for i, (no, due) in enumerate(sweeps)]
+    spark.createDataFrame(rows, f"drive string, seq bigint, {times}").write.parquet(f"{folder}/sweeps.parquet")
+    spark.createDataFrame([("d", no) for no in frames], "drive string, seq bigint").write.parquet(f"{folder}/frames.parquet")
+    return str(folder)
+
+
+def interpolated(no, a, b):
+    (n, start), (m, end) = a, b
+    return start + abs((end - start) * (no - n)) // (m - n) * (1 if end >= start else -1)
+
+
+def test_runs_of_any_length_are_told_number_by_number(spark, monkeypatch):
+    monkeypatch.setattr(sequences, "PIECE", 3)
+    runs = [(i, low, low + n - 1) for i, (low, n) in enumerate([(0, 1), (5, 0), (7, 3), (10, 4), (0, 27), (3, 28), (100, 200), (9, -3)])]
+    got = sequences.each_number(spark.createDataFrame(runs, "run int, low bigint, high bigint"), "low", "high", "no").collect()
+    assert sorted(map(tuple, got)) == [(i, no) for i, low, high in runs for no in range(low, high + 1)]
+
+
+def test_deadlines_between_far_slots_are_exact(spark):
+    for a, b in (((0, 0), (10, 15 * 10**17)), ((3, 15 * 10**17), (10, -7)), ((7, 1), (2**31 + 9, 9 * 10**18)), ((1, 9 * 10**18), (2**62, 5)), ((0, -5), (2**60, 4))):
+        numbers = sorted({a[0] + 1, a[0] + 2, (a[0] + b[0]) // 2, b[0] - 1, b[0]})
+        df = spark.createDataFrame([(no, a, b, 10) for no in numbers], "no bigint, a struct<no bigint, due bigint>, b struct<no bigint, due bigint>, period bigint")
+        got = [r[0] for r in df.select(sequences.deadline(df["no"], "a", "b", df["period"])).collect()]
+        assert got == [interpolated(no, a, b) for no in numbers], (a, b)
+
+
+def test_deadlines_by_the_period_that_are_no_bigint_are_null(spark):
+    df = spark.createDataFrame([(5, (3, 100), None, 10), (2**62, (3, 100), None, 10), (5, None, (7, 100), 10), (0, None, (2**62, 100), 10)], "no bigint, a struct<no bigint, due bigint>, b struct<no bigint, due bigint>, period bigint")
+    assert [r[0] for r in df.select(sequences.deadline(df["no"], "a", "b", df["period"])).collect()] == [120, None, 80, None]
+
+
+def test_absent_deadlines_over_a_long_run(spark, tmp_path):
+    d = recorded(spark, tmp_path, [(0, 0), (FAR, 9 * 10**18)], [3])
+    got = {r["seq"]: r["deadline_ns"] for r in streams.absent_deadlines(spark, d).limit(50).collect()}
+    assert len(got) == 50 and all(0 < no < FAR and due == interpolated(no, (0, 0), (FAR, 9 * 10**18)) for no, due in got.items())
+
+
 def fold(events, hold):
     """The lane row by row: holds the worst, steps down after so many quiet rows, and starts the count again."""
     state, quiet, lesser, out = 0, 0, 0, []
