@@ -87,6 +87,14 @@ def test_absent_deadlines_over_a_long_run(spark, tmp_path):
     assert len(got) == 50 and all(0 < no < FAR and due == interpolated(no, (0, 0), (FAR, 9 * 10**18)) for no, due in got.items())
 
 
+def test_drive_slots_over_long_runs(spark, tmp_path):
+    d = recorded(spark, tmp_path, [(0, 0), (1, None), (FAR, 9 * 10**18)], [2 * FAR])
+    got = {r["seq"]: tuple(r)[2:] for r in streams.drive_slots(spark, d).limit(50).collect()}
+    due = lambda no: interpolated(no, (0, 0), (FAR, 9 * 10**18)) if no <= FAR else None if 9 * 10**18 + (no - FAR) * 100 >= 2**63 else 9 * 10**18 + (no - FAR) * 100
+    assert len(got) == 50
+    assert got == {no: (due(no), *(("Present", None) if no in (0, 1, FAR) else ("Missing", "absent_in_source"))) for no in got}
+
+
 def fold(events, hold):
     """The lane row by row: holds the worst, steps down after so many quiet rows, and starts the count again."""
     state, quiet, lesser, out = 0, 0, 0, []
