@@ -150,7 +150,8 @@ def absent_deadlines(spark: SparkSession, d: str) -> DataFrame:
 
 def skip_deadlines(spark: SparkSession, d: str) -> DataFrame:
     """W6, ST4: when a sweep's place is taken by the next, and whether it arrived after that; of every sweep, its due time filled in where it lacks."""
-    rows = _slots(spark, d).where("present").join(sweeps(spark, d).select("drive", "seq", "arrival_ns"), ["drive", "seq"])
+    due = sequences.present_slots(table(spark, d, "sweeps"), ["drive"], "seq", "due_ns", _periods(spark, d), CHUNK)
+    rows = due.join(sweeps(spark, d).select("drive", "seq", "arrival_ns"), ["drive", "seq"])
     ahead = sequences.with_next(rows, ["drive"], "due_ns", "next_due", 60_000_000_000)
     skip = F.coalesce("next_due", F.col("due_ns") + F.col("period_ns"))
     return ahead.join(_periods(spark, d), "drive").select("drive", "seq", skip.alias("skip_at_ns"), (F.col("arrival_ns") >= skip).alias("skipped"))

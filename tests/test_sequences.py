@@ -95,6 +95,15 @@ def test_drive_slots_over_long_runs(spark, tmp_path):
     assert got == {no: (due(no), *(("Present", None) if no in (0, 1, FAR) else ("Missing", "absent_in_source"))) for no in got}
 
 
+def test_skip_deadlines_make_no_absent_slots(spark, tmp_path):
+    far = 2**50
+    d = recorded(spark, tmp_path, [(0, 10), (1, 30), (far, 10**15), (far + 1, None), (2 * far, 10**15 + 7 * far), (2 * far + 1, None)], [5 * far])
+    end = 10**15 + 7 * far
+    assert {r["seq"]: (r["skip_at_ns"], r["skipped"]) for r in streams.skip_deadlines(spark, d).collect()} == {
+        0: (30, False), 1: (10**15, False), far: (10**15 + 7, False), far + 1: (end, None), 2 * far: (end + 100, False), 2 * far + 1: (end + 200, None),
+    }
+
+
 def fold(events, hold):
     """The lane row by row: holds the worst, steps down after so many quiet rows, and starts the count again."""
     state, quiet, lesser, out = 0, 0, 0, []
