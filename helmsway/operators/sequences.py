@@ -51,14 +51,11 @@ def slot_deadlines(df: DataFrame, keys: list[str], seq: str, due: str, period_ns
     """
     known = df.where(F.col(due).isNotNull() & (F.col(seq) >= 0)).groupBy(*keys, seq).agg(F.min(due).alias("_due"))
     pairs = running(known.withColumn("_pair", F.struct(F.col(seq), F.col("_due"))), keys, seq, "_pair", "_prev", chunk, how="max", strict=True)
-    first = F.col("_prev").isNull()
-    a, b = F.coalesce(F.col(f"_prev.{seq}"), F.lit(-1)), F.col(seq)
-    slots = pairs.where(b - a > 1).select(
-        *keys, F.col("_prev._due").alias("_from"), F.col("_due").alias("_to"), a.alias("_a"), b.alias("_b"), first.alias("_first"), F.explode(F.sequence(a + 1, b - 1)).alias(seq)
+    low = F.when(F.col("_prev").isNotNull(), F.struct(F.col(f"_prev.{seq}").alias("no"), F.col("_prev._due").alias("due")))
+    runs = pairs.select(
+        *keys, low.alias("_a"), F.struct(F.col(seq).alias("no"), F.col("_due").alias("due")).alias("_b"), (F.coalesce(F.col(f"_prev.{seq}"), F.lit(-1)) + 1).alias("_low"), (F.col(seq) - 1).alias("_high")
     )
-    inside = F.col("_from") + F.call_function("div", (F.col("_to") - F.col("_from")) * (F.col(seq) - F.col("_a")), F.col("_b") - F.col("_a"))
-    before = F.col("_to") - (F.col("_b") - F.col(seq)) * period_ns
-    return slots.select(*keys, seq, F.when(F.col("_first"), before).otherwise(inside).alias("deadline_ns"))
+    return each_number(runs, "_low", "_high", seq).select(*keys, seq, deadline(F.col(seq), "_a", "_b", period_ns).alias("deadline_ns"))
 
 
 def each_number(runs: DataFrame, low: str, high: str, out: str) -> DataFrame:

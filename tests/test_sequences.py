@@ -104,6 +104,13 @@ def test_skip_deadlines_make_no_absent_slots(spark, tmp_path):
     }
 
 
+def test_dense_slots_over_a_long_run(spark, tmp_path):
+    d = recorded(spark, tmp_path, [(0, 0), (1, None), (FAR, 9 * 10**18)], [3])
+    got = {r["seq"]: tuple(r)[2:] for r in streams.dense_slots(spark, d).where("seq > 0").limit(50).collect()}
+    told = lambda no: (9 * 10**18, "Present", None) if no == FAR else (interpolated(no, (0, 0), (FAR, 9 * 10**18)), "Missing", "absent_in_source")
+    assert len(got) == 50 and got == {no: told(no) for no in got}
+
+
 def fold(events, hold):
     """The lane row by row: holds the worst, steps down after so many quiet rows, and starts the count again."""
     state, quiet, lesser, out = 0, 0, 0, []
