@@ -111,6 +111,13 @@ def test_dense_slots_over_a_long_run(spark, tmp_path):
     assert len(got) == 50 and got == {no: told(no) for no in got}
 
 
+def test_interpolated_deadlines_over_a_long_run(spark, tmp_path):
+    d = recorded(spark, tmp_path, [(2, 0), (FAR, 9 * 10**18)], [3])
+    got = {r["seq"]: r["deadline_ns"] for r in streams.interpolate_deadline(spark, d).limit(50).collect()}
+    told = lambda no: -(2 - no) * streams.PERIOD_NS if no < 2 else interpolated(no, (2, 0), (FAR, 9 * 10**18))
+    assert len(got) == 50 and got == {no: told(no) for no in got} and not {2, FAR} & set(got)
+
+
 def fold(events, hold):
     """The lane row by row: holds the worst, steps down after so many quiet rows, and starts the count again."""
     state, quiet, lesser, out = 0, 0, 0, []
