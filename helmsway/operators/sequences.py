@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helmsway.operators.scan import NS, in_blocks, running
+from helmsway.operators.scan import NS, fresh, in_blocks, running
 
 #: Numbers that are made from a piece of a run at a time.
 PIECE = 2**16
 
+#: Pieces of a run for each task, at most.
+SHARES = 16
+
 
 def with_previous(df: DataFrame, keys: list[str], order: str, out: str, chunk: int) -> DataFrame:
     """Adds the largest ``order`` of the key below this row's; null for the first. Equal rows see the same."""
@@ -58,18 +61,31 @@ def slot_deadlines(df: DataFrame, keys: list[str], seq: str, due: str, period_ns
     return each_number(runs, "_low", "_high", seq).select(*keys, seq, deadline(F.col(seq), "_a", "_b", period_ns).alias("deadline_ns"))
 
 
-def each_number(runs: DataFrame, low: str, high: str, out: str) -> DataFrame:
+def each_number(runs: DataFrame, low: str, high: str, out: str, early: bool = False) -> DataFrame:
     """Each row once for every number from ``low`` to ``high``, which ``out`` replaces; none where ``high`` is below ``low``.
 
     A run is cut into pieces and these into smaller ones, down to PIECE numbers, so that no array is long
     however long the run; the last pieces are shared out to all tasks, which a single run so keeps busy.
+    With ``early`` the first pieces are shared out, and what a task holds or shuffles doesn't grow with the run: rows that
+    a chain of explodes makes of one row are all kept by generated code, so a coalesce, which has none, parts each from the next.
     """
-    cut = runs.where(F.col(low) <= F.col(high))
+    cut, tasks = runs.where(F.col(low) <= F.col(high)), int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = shared_out(cut, low, high, tasks) if early else cut
     for step in (PIECE**3, PIECE**2, PIECE):
         cut = cut.withColumn(low, F.explode(F.sequence(low, high, F.lit(step).cast("bigint"))))
         cut = cut.withColumn(high, F.when(F.col(high) - F.col(low) >= step, F.col(low) + F.lit(step - 1)).otherwise(F.col(high)))
-    shared = cut.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), low, high)
-    return shared.withColumn(out, F.explode(F.sequence(low, high))).drop(low, high)
+        cut = cut.coalesce(tasks) if early else cut
+    cut = cut if early else cut.repartition(tasks, low, high)
+    return cut.withColumn(out, F.explode(F.sequence(low, high))).drop(low, high)
+
+
+def shared_out(runs: DataFrame, low: str, high: str, tasks: int) -> DataFrame:
+    """Runs cut into pieces of PIECE numbers, or longer ones, so that a run has at most SHARES for each of the tasks, to which they go."""
+    step = fresh("_step", runs)
+    length = F.greatest(F.lit(PIECE).cast("bigint"), F.call_function("div", F.col(high) - F.col(low), F.lit(SHARES * tasks).cast("bigint")) + 1)
+    cut = runs.withColumn(step, length).withColumn(low, F.explode(F.sequence(low, high, step)))
+    cut = cut.withColumn(high, F.when(F.col(high) - F.col(low) >= F.col(step), F.col(low) + F.col(step) - 1).otherwise(F.col(high)))
+    return cut.drop(step).repartition(tasks, low, high)
 
 
 def deadline(no: Column, a: str, b: str, period: Column) -> Column:
@@ -119,7 +135,7 @@ def all_slots(df: DataFrame, keys: list[str], seq: str, due: str, periods: DataF
         ends = own.groupBy(*keys).agg(F.max("_known").alias("_a"), (F.max(seq) + 1).alias("_low"))
         longest = others.groupBy(*keys).agg(F.max(seq).alias("_high"))
         runs = runs.unionByName(ends.join(longest, keys), allowMissingColumns=True)
-    slots = each_number(runs.join(periods, keys, "left"), "_low", "_high", seq)
+    slots = each_number(runs.join(periods, keys, "left"), "_low", "_high", seq, early=True)
     return slots.select(*keys, seq, deadline(F.col(seq), "_a", "_b", F.col("period_ns")).alias(due), F.coalesce(F.col(seq) == F.col("_own"), F.lit(False)).alias("present"))
 
 

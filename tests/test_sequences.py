@@ -1,8 +1,10 @@
 """Slots, deadlines and lanes by hand."""
 
 import random
+import threading
 
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from helmsway.operators import sequences
 from helmsway.plans import streams
@@ -95,6 +97,35 @@ def test_drive_slots_over_long_runs(spark, tmp_path):
     assert got == {no: (due(no), *(("Present", None) if no in (0, 1, FAR) else ("Missing", "absent_in_source"))) for no in got}
 
 
+def promptly(spark, df, n, seconds=90):
+    """The first ``n`` rows; an error if they don't come in so many seconds."""
+    stop = threading.Timer(seconds, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        return df.limit(n).collect()
+    finally:
+        stop.cancel()
+
+
+def test_runs_are_shared_out_in_few_pieces(spark, monkeypatch):
+    monkeypatch.setattr(sequences, "PIECE", 3)
+    runs = [(i, low, low + n - 1) for i, (low, n) in enumerate([(0, 1), (5, 0), (7, 3), (10, 4), (0, 27), (3, 28), (100, 500), (9, -3)])]
+    df = spark.createDataFrame([*runs, (8, 0, 2**63 - 1), (9, 2**62, 2**63 - 1)], "run int, low bigint, high bigint")
+    pieces = sequences.shared_out(df.where("low <= high"), "low", "high", 4)
+    told = {r[0]: tuple(r)[1:] for r in pieces.groupBy("run").agg(F.min("low"), F.max("high"), F.count("*")).collect()}
+    assert all(n <= 4 * sequences.SHARES + 1 for *_, n in told.values()) and told[8][:2] == (0, 2**63 - 1) and told[9][:2] == (2**62, 2**63 - 1)
+    got = sequences.each_number(df.where("run < 8"), "low", "high", "no", early=True).collect()
+    assert sorted(map(tuple, got)) == [(i, no) for i, low, high in runs for no in range(low, high + 1)]
+
+
+def test_drive_slots_come_at_once_however_far_apart(spark, tmp_path):
+    far = 2**52
+    d = recorded(spark, tmp_path, [(0, 0), (1, None), (far, 9 * 10**18)], [3])
+    got = {r["seq"]: tuple(r)[2:] for r in promptly(spark, streams.drive_slots(spark, d), 50)}
+    told = lambda no: ("Present", None) if no in (0, 1, far) else ("Missing", "absent_in_source")
+    assert len(got) == 50 and got == {no: (interpolated(no, (0, 0), (far, 9 * 10**18)), *told(no)) for no in got}
+
+
 def test_skip_deadlines_make_no_absent_slots(spark, tmp_path):
     far = 2**50
     d = recorded(spark, tmp_path, [(0, 10), (1, 30), (far, 10**15), (far + 1, None), (2 * far, 10**15 + 7 * far), (2 * far + 1, None)], [5 * far])
