@@ -61,21 +61,18 @@ def slot_deadlines(df: DataFrame, keys: list[str], seq: str, due: str, period_ns
     return each_number(runs, "_low", "_high", seq).select(*keys, seq, deadline(F.col(seq), "_a", "_b", period_ns).alias("deadline_ns"))
 
 
-def each_number(runs: DataFrame, low: str, high: str, out: str, early: bool = False) -> DataFrame:
+def each_number(runs: DataFrame, low: str, high: str, out: str) -> DataFrame:
     """Each row once for every number from ``low`` to ``high``, which ``out`` replaces; none where ``high`` is below ``low``.
 
-    A run is cut into pieces and these into smaller ones, down to PIECE numbers, so that no array is long
-    however long the run; the last pieces are shared out to all tasks, which a single run so keeps busy.
-    With ``early`` the first pieces are shared out, and what a task holds or shuffles doesn't grow with the run: rows that
-    a chain of explodes makes of one row are all kept by generated code, so a coalesce, which has none, parts each from the next.
+    A run is cut into pieces, which are shared out to all tasks, and these into smaller ones, down to PIECE numbers, so that
+    no array is long however long the run, and what a task holds or shuffles doesn't grow with it: rows that a chain of
+    explodes makes of one row are all kept by generated code, so a coalesce, which has none, parts each from the next.
     """
-    cut, tasks = runs.where(F.col(low) <= F.col(high)), int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = shared_out(cut, low, high, tasks) if early else cut
+    tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = shared_out(runs.where(F.col(low) <= F.col(high)), low, high, tasks)
     for step in (PIECE**3, PIECE**2, PIECE):
         cut = cut.withColumn(low, F.explode(F.sequence(low, high, F.lit(step).cast("bigint"))))
-        cut = cut.withColumn(high, F.when(F.col(high) - F.col(low) >= step, F.col(low) + F.lit(step - 1)).otherwise(F.col(high)))
-        cut = cut.coalesce(tasks) if early else cut
-    cut = cut if early else cut.repartition(tasks, low, high)
+        cut = cut.withColumn(high, F.when(F.col(high) - F.col(low) >= step, F.col(low) + F.lit(step - 1)).otherwise(F.col(high))).coalesce(tasks)
     return cut.withColumn(out, F.explode(F.sequence(low, high))).drop(low, high)
 
 
@@ -135,7 +132,7 @@ def all_slots(df: DataFrame, keys: list[str], seq: str, due: str, periods: DataF
         ends = own.groupBy(*keys).agg(F.max("_known").alias("_a"), (F.max(seq) + 1).alias("_low"))
         longest = others.groupBy(*keys).agg(F.max(seq).alias("_high"))
         runs = runs.unionByName(ends.join(longest, keys), allowMissingColumns=True)
-    slots = each_number(runs.join(periods, keys, "left"), "_low", "_high", seq, early=True)
+    slots = each_number(runs.join(periods, keys, "left"), "_low", "_high", seq)
     return slots.select(*keys, seq, deadline(F.col(seq), "_a", "_b", F.col("period_ns")).alias(due), F.coalesce(F.col(seq) == F.col("_own"), F.lit(False)).alias("present"))
 
 

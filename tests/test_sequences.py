@@ -114,7 +114,7 @@ def test_runs_are_shared_out_in_few_pieces(spark, monkeypatch):
     pieces = sequences.shared_out(df.where("low <= high"), "low", "high", 4)
     told = {r[0]: tuple(r)[1:] for r in pieces.groupBy("run").agg(F.min("low"), F.max("high"), F.count("*")).collect()}
     assert all(n <= 4 * sequences.SHARES + 1 for *_, n in told.values()) and told[8][:2] == (0, 2**63 - 1) and told[9][:2] == (2**62, 2**63 - 1)
-    got = sequences.each_number(df.where("run < 8"), "low", "high", "no", early=True).collect()
+    got = sequences.each_number(df.where("run < 8"), "low", "high", "no").collect()
     assert sorted(map(tuple, got)) == [(i, no) for i, low, high in runs for no in range(low, high + 1)]
 
 
@@ -149,6 +149,13 @@ def test_interpolated_deadlines_over_a_long_run(spark, tmp_path):
     assert len(got) == 50 and got == {no: told(no) for no in got} and not {2, FAR} & set(got)
 
 
+def test_interpolated_deadlines_come_at_once_however_far_apart(spark, tmp_path):
+    far = 2**52
+    d = recorded(spark, tmp_path, [(0, 0), (far, 9 * 10**18)], [3])
+    got = {r["seq"]: r["deadline_ns"] for r in promptly(spark, streams.interpolate_deadline(spark, d), 50)}
+    assert len(got) == 50 and got == {no: interpolated(no, (0, 0), (far, 9 * 10**18)) for no in got} and not {0, far} & set(got)
+
+
 def fold(events, hold):
     """The lane row by row: holds the worst, steps down after so many quiet rows, and starts the count again."""
     state, quiet, lesser, out = 0, 0, 0, []
